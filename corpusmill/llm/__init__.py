@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules in the order of the operators 1 to 10.
-MODULES = ("fingerprints", "language_id", "bpe", "exact_dedup", "mixing", "simhash", "quality")
+MODULES = ("fingerprints", "language_id", "bpe", "exact_dedup", "html_text", "mixing", "token_counts", "url_filter", "simhash", "quality")
 
 
 def queries() -> dict:
