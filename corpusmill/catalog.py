@@ -16,6 +16,8 @@ from .functions.forms import FORMS
 from .operators import frequency, gate, inventory, ledger, lexicon, structure, tracker
 from .plans import fixed_tables as T
 from .plans import views
+from .sources import csvs, docx
+from .sources.folders import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -396,8 +398,8 @@ def definitions_abcd(spark, sf_dir):
     "review_rows",
     f"""WITH {SQL_FLAGS}, {SQL_SEGMENTS}, {SQL_BLOCKS}
 SELECT 1 AS producer, reference, rule, token_raw, token_no_tashkeel, suggested_decomposition, action_taken FROM review
-UNION ALL SELECT 2, doc || ':' || unit_no, 'TRAILING_REMAINDER_AS_FINAL_AYAH', text, {sql_form("text", "no_tashkeel")}, 'n/a — ayah boundary, not a token split', 'NONE — boundary inferred, no text created' FROM segments WHERE inferred
-UNION ALL SELECT 3, doc_id || ':0', 'BASMALAH_ABSENT_FROM_SOURCE', '', '', 'n/a', 'NONE — absent from the source and not reconstructed' FROM documents
+UNION ALL SELECT 2, doc || ':' || unit_no, 'TRAILING_REMAINDER_AS_FINAL_AYAH', text, {sql_form("text", "no_tashkeel")}, {q(T.TRAILING_DECOMPOSITION)}, {q(T.TRAILING_ACTION)} FROM segments WHERE inferred
+UNION ALL SELECT 3, doc_id || ':0', 'BASMALAH_ABSENT_FROM_SOURCE', '', '', 'n/a', {q(T.ABSENT_ACTION)} FROM documents
 WHERE doc_id NOT IN (1, 9) AND doc_id NOT IN (SELECT doc FROM blocks WHERE formula IS NOT NULL)""",
 )
 def review_rows(spark, sf_dir):
@@ -560,3 +562,23 @@ def tracker_progress(spark, sf_dir):
 @query("tracker_next3", f"WITH {SQL_TRACKER} SELECT global_no, word, first_ref, surah FROM tracker WHERE {_DONE} NOT IN ({_YES}) ORDER BY global_no, word LIMIT 3")
 def tracker_next3(spark, sf_dir):
     return tracker.next_pending(_tracker(spark, sf_dir)[0])
+
+
+# ---- sources and sinks (no SQL) -------------------------------------------------------------
+
+
+@query("partitioned_export")
+def partitioned_export(spark, sf_dir):
+    """The ledger written as a folder for each group and read again."""
+    path = shared_folder(spark, "ledger")
+    csvs.write_partitioned(word_ledger(spark, sf_dir), path, "group_no", "no_in_group")
+    return csvs.read_csv(spark, path, "word string, group_name string, no_in_group bigint, group_total bigint, global_no bigint, done string, `count` bigint, first_ref string, distinct_groups bigint, rank bigint, group_no bigint")
+
+
+@query("docx_roundtrip")
+def docx_roundtrip(spark, sf_dir):
+    """Each conversation's turns put into an office file and read again as paragraphs."""
+    path = shared_folder(spark, "docx")
+    turns = views.load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("doc"), F.col("turn").alias("line_no"), F.coalesce("text", F.lit("")).alias("line"))
+    docx.write_docx(turns, path)
+    return docx.read_written(spark, path)

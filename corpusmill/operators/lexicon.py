@@ -140,11 +140,30 @@ def review_rows(fused: DataFrame, trailing: DataFrame, census: DataFrame, key: s
     first = fused.withColumn("producer", F.lit(1)).select(*columns)
     second = trailing.select(
         F.lit(2).alias("producer"), reference(F.col(key), F.col("inferred_ayah_number")).alias("reference"), "rule", F.col("text_raw").alias("token_raw"),
-        no_tashkeel(F.col("text_raw")).alias("token_no_tashkeel"), F.lit("n/a — ayah boundary, not a token split").alias("suggested_decomposition"),
-        F.lit("NONE — boundary inferred, no text created").alias("action_taken"),
+        no_tashkeel(F.col("text_raw")).alias("token_no_tashkeel"), F.lit(T.TRAILING_DECOMPOSITION).alias("suggested_decomposition"),
+        F.lit(T.TRAILING_ACTION).alias("action_taken"),
     )
     third = census.where("anomalous").select(
         F.lit(3).alias("producer"), F.concat(F.col(key).cast("string"), F.lit(":0")).alias("reference"), F.lit(T.ABSENT_RULE).alias("rule"), F.lit("").alias("token_raw"),
-        F.lit("").alias("token_no_tashkeel"), F.lit("n/a").alias("suggested_decomposition"), F.lit("NONE — absent from the source and not reconstructed").alias("action_taken"),
+        F.lit("").alias("token_no_tashkeel"), F.lit("n/a").alias("suggested_decomposition"), F.lit(T.ABSENT_ACTION).alias("action_taken"),
     )
     return first.unionAll(second).unionAll(third)
+
+
+def review_table(fused: DataFrame, trailing: DataFrame, census: DataFrame, elements: DataFrame) -> DataFrame:
+    """The review export: 11 columns, producers in their order, corpus order within each."""
+    names = elements.select(F.col("group_no").alias("g"), F.col("name").alias("surah_name"))
+    end = trailing.join(names, F.col("group_no") == F.col("g")).select(
+        F.col("group_no").alias("surah_number"), "surah_name", F.col("inferred_ayah_number").alias("ayah_number"), reference(F.col("group_no"), F.col("inferred_ayah_number")).alias("reference"),
+        F.col("text_raw").alias("token_raw"), no_tashkeel(F.col("text_raw")).alias("token_no_tashkeel"), "rule", F.lit(T.TRAILING_DECOMPOSITION).alias("suggested_decomposition"),
+        F.lit(0).cast("bigint").alias("implied_extra_tokens_if_split"), F.lit(T.TRAILING_NOTE).alias("ambiguity_note"),
+        F.lit(T.TRAILING_ACTION).alias("action_taken"), F.lit(0).cast("bigint").alias("pos"),
+    )
+    absent = census.where("anomalous").join(names, F.col("group_no") == F.col("g")).select(
+        F.col("group_no").alias("surah_number"), "surah_name", F.lit(0).cast("bigint").alias("ayah_number"), F.concat(F.col("group_no").cast("string"), F.lit(":0")).alias("reference"),
+        F.lit("").alias("token_raw"), F.lit("").alias("token_no_tashkeel"), F.lit(T.ABSENT_RULE).alias("rule"), F.lit("n/a").alias("suggested_decomposition"),
+        F.lit(0).cast("bigint").alias("implied_extra_tokens_if_split"), F.lit(T.ABSENT_NOTE).alias("ambiguity_note"),
+        F.lit(T.ABSENT_ACTION).alias("action_taken"), F.lit(0).cast("bigint").alias("pos"),
+    )
+    rows = fused.withColumn("o", F.lit(1)).unionByName(end.withColumn("o", F.lit(2))).unionByName(absent.withColumn("o", F.lit(3)))
+    return rows.orderBy("o", "surah_number", "ayah_number", "pos").drop("o", "pos")

@@ -109,6 +109,17 @@ WATCHED_CODEPOINTS = (0x0671, 0x0670, 0x06DD, 0x06DE, 0x06E9, 0x06D6, 0x0640)
 TRAILING_RULE = "TRAILING_REMAINDER_AS_FINAL_AYAH"
 ABSENT_RULE = "BASMALAH_ABSENT_FROM_SOURCE"
 NO_ACTION = "NONE — flagged for operator review only"
+TRAILING_DECOMPOSITION = "n/a — ayah boundary, not a token split"
+TRAILING_NOTE = "Boundary inferred from the surah end because the source omits the closing marker. Text is verbatim; boundary is not."
+TRAILING_ACTION = (
+    "Source lacks the closing (n) marker for this ayah. The ayah TEXT is present verbatim; only the delimiter numeral is absent. "
+    "A segmentation boundary was inferred. NO text was created."
+)
+ABSENT_NOTE = "Not ambiguous — simply absent from the source."
+ABSENT_ACTION = (
+    "NONE — Basmalah is absent from the source document for this surah and was NOT reconstructed. "
+    "Definition A is 4 tokens lower than a source carrying all 113 opening Basmalahs."
+)
 #: What the done column of a tracker may say, and what of it means done.
 DONE_ALLOWED = ("yes", "no", "true", "false", "نعم", "لا", "", "nan")
 DONE_YES = ("yes", "true", "نعم")
