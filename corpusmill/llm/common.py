@@ -38,6 +38,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch, for workers of bounded memory: texts may be long.
+
+    The setting is read when a plan runs, so it stays with the session.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > rows:
+        spark.conf.set(name, str(rows))
+
+
+def least_hashes(rows: DataFrame, by: str, ident: Column, counts: dict, each: int) -> DataFrame:
+    """About three times the ``each`` rows of each value of ``by`` with the least hashes of ``ident``.
+
+    ``counts`` has the rows of each value. The threshold is applied where the
+    rows lie, so what is shuffled to rank them is bounded at any size of input.
+    """
+    unit = F.pmod(F.xxhash64(ident), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, 3.0 * each / max(1, n)))).otherwise(share)
+    return rows.where(unit < share).withColumn("_unit", unit)
+
+
 def buckets_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -92,6 +115,24 @@ def small_or_not(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+#: A key with more than this share of the rows is hot.
+HOT_SHARE = 1 / 2000
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, n_col: str, value_col: str) -> DataFrame:
+    """``rows`` with ``value_col`` of ``values``, which has one row for each ``key`` and how many rows have it.
+
+    Rows of hot keys meet a broadcast, of 1 / ``HOT_SHARE`` rows at most
+    whatever the input; the others an equi-join in which no key is large.
+    """
+    many = HOT_SHARE * rows.count()
+    hot = F.broadcast(values.where(F.col(n_col) > many).select(F.col(key).alias("_hot"), F.col(value_col).alias("_value")))
+    marked = rows.join(hot, F.col(key) == F.col("_hot"), "left")
+    done = marked.where(F.col("_hot").isNotNull()).select(*rows.columns, F.col("_value").alias(value_col))
+    rest = marked.where(F.col("_hot").isNull()).select(*rows.columns)
+    return done.unionAll(rest.join(values.where(F.col(n_col) <= many).select(key, value_col), key).select(*rows.columns, value_col))
+
+
 def unsigned_hex(value: Column, digits: int = 16) -> Column:
     return F.lower(F.lpad(F.hex(value), digits, "0"))
 
