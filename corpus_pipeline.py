@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, common, exact_dedup, mixing, quality, simhash
+from corpusmill.llm import bpe, common, exact_dedup, mixing, quality, simhash_similar
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the smallest identifier."""
-    found = simhash.near_dedup(docs)
+    """Of each class of near copies, the document with the smallest identifier.
+
+    Near copies share five-word shingles to a similarity of 0.8 or more.
+    """
+    found = simhash_similar.near_dedup_similar(docs, width=5, similarity=0.8)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
 
@@ -45,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes of each row."""
-    return bpe.digests(bpe.encode_documents(docs.select("doc_id", "text"), bpe.public_vocabulary()))
+    return bpe.digests(bpe.encode_documents(docs.select("doc_id", "text"), *bpe.public_files()))
 
 
 STAGES = [
