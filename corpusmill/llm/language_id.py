@@ -158,9 +158,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = labelled.select(labelled[id_col].cast("string").alias("i"), labelled[text_col].cast("string").alias("t"), labelled[lang_col].cast("string").alias("lang")).where("t is not null and lang is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_train // 8).collect()}
     each = max(1, max_train // max(1, len(counts)))
-    # the rank filter runs before the shuffle too, so each task sends at most ``each`` rows of a language
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i", "t"))
-    picked = rows.where(F.col("lang").isin(list(counts))).withColumn("r", rank).where(F.col("r") <= each)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_unit", "i", "t"))
+    picked = common.least_hashes(rows, "lang", F.col("i"), counts, each).withColumn("r", rank).where(F.col("r") <= each)
     found = picked.select("lang", "r", feature_udf()("t").alias("x")).collect() if counts else []
     found.sort(key=lambda r: (r.lang, r.r))
     x = np.array([np.frombuffer(r.x, np.float32) for r in found], np.float32).reshape(len(found), DIM)
@@ -170,6 +169,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "prediction") -> DataFrame:
     """``df`` with a struct column ``out`` (lang_pred, score)."""
 
+    common.small_batches(df.sparkSession)
+
     @F.pandas_udf("struct<lang_pred string, score double>")
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
