@@ -255,7 +255,10 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 120, l2: float = 2e
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Field:
     """Fit on at most ``max_train`` of the labelled documents, half of each label where there are as many."""
     known = labels.select(labels[id_col].alias("i"), labels[label_col].cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.min("y").alias("y"))
-    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i"), "i"))
+    known = common.cut(known)
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy("y").limit(16).collect()}
+    rank = F.row_number().over(Window.partitionBy("y").orderBy("_unit", "i"))
+    known = common.least_hashes(known, "y", F.col("i"), counts, max_train // 2)
     known = common.cut(known.withColumn("r", rank).where(F.col("r") <= max_train // 2).select("i", "y"))
     # at most max_train rows of identifiers, so a broadcast of bounded size
     rows = docs.select(docs[id_col].alias("doc"), docs[text_col].cast("string").alias("t")).join(F.broadcast(known), F.col("doc") == F.col("i"))
@@ -268,6 +271,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(df: DataFrame, field: Field, text_col: str = "text", out: str = "score") -> DataFrame:
     """``df`` with a double column ``out``: P(label 1) of each whole text."""
 
+    common.small_batches(df.sparkSession)
+
     @F.pandas_udf("double")
     def judged(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
