@@ -39,12 +39,23 @@ from . import common
 
 #: Distinct fingerprints up to which a variant's pairs are compared directly.
 BUCKET = 12
-#: A fingerprint with more than this share of the rows is hot: its class is broadcast (so 1/share rows at most).
-HOT_SHARE = 1 / 2000
 #: Shingles whose bits are counted at once.
 BLOCK = 65_536
 
 
+def bit_sums(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set in rows of unsigned longs (n, words): (64 * words) counts.
+
+    Runs of 255 rows are added up in single bytes.
+    """
+    counts = np.zeros(64 * hashes.shape[1], np.int64)
+    for i in range(0, len(hashes), BLOCK):
+        part = np.ascontiguousarray(hashes[i : i + BLOCK], "<u8")
+        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduceat(bits, np.arange(0, len(part), 255), axis=0, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    return counts
+
+
 def simhash(text: str | None, width: int = 3) -> int:
     """Signed 64-bit SimHash of one text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -58,11 +69,7 @@ def simhash(text: str | None, width: int = 3) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         first = [0, *ends[:-width].tolist()]
         hashes = [digest(joined[a:b], 42) for a, b in zip(first, (ends[width - 1 :] - 1).tolist())]
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), BLOCK):
-        part = np.array(hashes[i : i + BLOCK], np.uint64)
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
+    counts = bit_sums(np.array(hashes, np.uint64).reshape(-1, 1))
     over = np.packbits(2 * counts > len(hashes), bitorder="little")
     return int(over.view("<i8")[0])
 
@@ -112,20 +119,15 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 2) -> DataFrame:
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_distance: int = 2) -> DataFrame:
     """doc_id, fp (signed long), component_id: one row per input row."""
+    common.small_batches(df.sparkSession)
     prints = common.cut(df.select(df[id_col].alias("doc_id"), fingerprint_udf(width)(df[text_col].cast("string")).alias("fp")))
     reps = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     roots = common.connected_components(fingerprint_links(reps.select("fp"), max_distance))
     named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = common.cut(named.select("fp", "n", "root").join(least, "root").select(F.col("fp").alias("f"), "n", "component_id"))
-    # rows of hot fingerprints meet a broadcast of at most 1 / HOT_SHARE rows, the rest an equi-join
-    many = HOT_SHARE * prints.count()
-    hot = F.broadcast(classes.where(F.col("n") > many).select(F.col("f").alias("hot_f"), F.col("component_id").alias("hot_id")))
-    marked = prints.join(hot, prints.fp == hot.hot_f, "left")
-    done = marked.where(F.col("hot_f").isNotNull()).select("doc_id", "fp", F.col("hot_id").alias("component_id"))
-    rest = marked.where(F.col("hot_f").isNull()).select("doc_id", "fp")
-    cold = classes.where(F.col("n") <= many)
-    return done.unionAll(rest.join(cold, rest.fp == cold.f).select("doc_id", "fp", "component_id"))
+    classes = common.cut(named.select("fp", "n", "root").join(least, "root").select("fp", "n", "component_id"))
+    return common.join_hot(prints, classes, "fp", "n", "component_id")
+
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
