@@ -96,7 +96,7 @@ def generalise(counts: DataFrame) -> DataFrame:
 
 def judge_templates(tree: DataFrame) -> DataFrame:
     """``(host, template, purity)`` after similar siblings are merged."""
-    leaves = tree.groupBy("host", F.array_join("template", "/").alias("template"), F.array_join(F.slice("template", 1, F.size("template") - 1), "/").alias("parent")).agg(
+    leaves = tree.groupBy("host", F.array_join("template", "/").alias("template"), F.array_join(F.slice("template", F.lit(1), F.greatest(F.size("template") - 1, F.lit(0))), "/").alias("parent")).agg(
         F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")
     )
     enough = F.col("labelled") >= LEAST_LABELLED
