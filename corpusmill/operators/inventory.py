@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import charclass as C
+from ..functions.shipping import ship
 from ..functions.text import codepoint, codepoint_label, display, tokens
 
 UNNAMED = "<no Unicode name assigned>"
@@ -38,6 +39,7 @@ def codepoint_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def codepoint_inventory(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """The counts with official names and categories: looked up once a distinct character."""
+    ship(texts.sparkSession)
     counts = codepoint_counts(texts, text_col).withColumn("facts", unicode_facts("decimal"))
     return counts.select("codepoint", "decimal", "char", F.col("facts.name").alias("unicode_name"), F.col("facts.category").alias("category"), "count")
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.shipping import ship
+
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 REFUSED = ("delText", "sym", "instrText")
 SCHEMA = "doc string, line_no bigint, line string"
@@ -91,6 +93,7 @@ def write_docx(lines: DataFrame, path: str) -> None:
     def packed(rows: pd.Series) -> pd.Series:
         return pd.Series([document(list(x)) for x in rows], dtype=object)
 
+    ship(lines.sparkSession)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
     lines.groupBy("doc").agg(ordered.alias("lines")).select("doc", packed("lines").alias("content")).write.mode("overwrite").parquet(path)
 
@@ -107,6 +110,7 @@ def _unpacked(files: DataFrame) -> DataFrame:
                 lines = paragraphs(bytes(data))
                 yield pd.DataFrame({"doc": doc, "line_no": range(len(lines)), "line": lines})
 
+    ship(files.sparkSession)
     return files.mapInPandas(unpack, SCHEMA)
 
 
