@@ -381,7 +381,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text_col: str = "te
         for ids in parts:
             yield pd.Series(list(map(worker.decode, ids)), dtype=object)
 
-    common.small_batches(df.sparkSession)
+    common.ready_for_python(df.sparkSession)
     return df.withColumn("ids", encode(df[text_col].cast("string"))).withColumn("decoded", decode(F.col("ids")))
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.shipping import ship
+
 #: Keys that a range split samples for each of its buckets.
 SAMPLES_PER_BUCKET = 48
 #: Words are runs of anything but ASCII white space.
@@ -38,11 +40,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in an Arrow batch, for workers of bounded memory: texts may be long.
+def ready_for_python(spark: SparkSession, rows: int = 1000) -> None:
+    """Before Python runs: the code goes to the workers, with at most so many rows in an Arrow batch.
+
+    Texts may be long, and workers have bounded memory.
 
     The setting is read when a plan runs, so it stays with the session.
     """
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name, "10000")) > rows:
         spark.conf.set(name, str(rows))
@@ -152,7 +157,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         else:
             both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        joined = both.join(least, both.a == least.u)
+        # many small joins: no broadcasts, whose builds would each hold a driver thread and its memory
+        joined = both.join(least.hint("merge"), both.a == least.u)
         if large:
             out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:

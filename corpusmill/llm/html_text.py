@@ -331,7 +331,7 @@ def _table(node: Node, to: Page, depth: int) -> None:
 def extract(df: DataFrame, html_col: str = "html", out: str = "rendered") -> DataFrame:
     """``df`` with the string column ``out``."""
 
-    common.small_batches(df.sparkSession)
+    common.ready_for_python(df.sparkSession)
 
     @F.pandas_udf("string")
     def rendered(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

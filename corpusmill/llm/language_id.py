@@ -156,6 +156,7 @@ def feature_udf() -> Column:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Model:
     """Fit on at most ``max_train`` rows of ``labelled``, as many of each language as there are."""
     rows = labelled.select(labelled[id_col].cast("string").alias("i"), labelled[text_col].cast("string").alias("t"), labelled[lang_col].cast("string").alias("lang")).where("t is not null and lang is not null")
+    common.ready_for_python(labelled.sparkSession)
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_train // 8).collect()}
     each = max(1, max_train // max(1, len(counts)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_unit", "i", "t"))
@@ -169,7 +170,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def predict(df: DataFrame, model: Model, text_col: str = "text", out: str = "prediction") -> DataFrame:
     """``df`` with a struct column ``out`` (lang_pred, score)."""
 
-    common.small_batches(df.sparkSession)
+    common.ready_for_python(df.sparkSession)
 
     @F.pandas_udf("struct<lang_pred string, score double>")
     def label(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -271,7 +271,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(df: DataFrame, field: Field, text_col: str = "text", out: str = "score") -> DataFrame:
     """``df`` with a double column ``out``: P(label 1) of each whole text."""
 
-    common.small_batches(df.sparkSession)
+    common.ready_for_python(df.sparkSession)
 
     @F.pandas_udf("double")
     def judged(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

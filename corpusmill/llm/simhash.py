@@ -119,7 +119,7 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 2) -> DataFrame:
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_distance: int = 2) -> DataFrame:
     """doc_id, fp (signed long), component_id: one row per input row."""
-    common.small_batches(df.sparkSession)
+    common.ready_for_python(df.sparkSession)
     prints = common.cut(df.select(df[id_col].alias("doc_id"), fingerprint_udf(width)(df[text_col].cast("string")).alias("fp")))
     reps = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     roots = common.connected_components(fingerprint_links(reps.select("fp"), max_distance))

@@ -103,7 +103,7 @@ def at_limits(answers: DataFrame, limits: list[int]) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    common.small_batches(spark)
+    common.ready_for_python(spark)
     docs = common.table(spark, sf_dir, "documents").select("text")
     length = encoded_length(F.col("text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return suffix_sums(histogram(docs, length))
