@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keys sampled for each bucket.
-SAMPLES = 48
+#: Keys sampled for each bucket, and the most buckets: they are nested decisions in one expression.
+SAMPLES, MOST = 48, 512
 
 
 def splitters(df: DataFrame, order: list[tuple[str, bool]], n: int) -> list[tuple]:
@@ -58,7 +58,7 @@ def bucket(bounds: list[tuple], df: DataFrame, order: list[tuple[str, bool]]) ->
 
 def with_row_number(df: DataFrame, order: list[tuple[str, bool]], out: str, buckets: int | None = None) -> DataFrame:
     """``df`` with BIGINT ``out`` = 1..N in the order given, which must be total and without nulls."""
-    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    n = buckets or min(MOST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     bounds = splitters(df, order, n)
     dealt = df.withColumn("_bucket", bucket(bounds, df, order))
     counts = {r["_bucket"]: r["n"] for r in dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
