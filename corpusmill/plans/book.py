@@ -126,6 +126,7 @@ def run(spark: SparkSession, config: Config) -> list[str]:
     export(with_density(frequency.group_statistics(units, counts)), "per_surah_statistics.csv")
 
     full = ledger.ledger(units, counts, with_refs=True).cache()
+    check_ledger(full, counts)
     named = full.select(*[F.col(c).alias(n) for c, n in LEDGER_COLUMNS.items()])
     export(named.orderBy(LEDGER_COLUMNS["global_no"]), "quran_words_by_surah.csv")
     kept = [n for c, n in LEDGER_COLUMNS.items() if c != "group_total"]
@@ -147,6 +148,17 @@ def run(spark: SparkSession, config: Config) -> list[str]:
     return names
 
 
+def check_ledger(full: DataFrame, counts: DataFrame) -> None:
+    """Before it is written: no word twice, numbers 1..N overall and within each group, counts that add up to all tokens."""
+    one = full.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("word").alias("d"), F.count_distinct("global_no").alias("g"), F.min("global_no").alias("lo"), F.max("global_no").alias("hi"), F.sum("count").alias("s")).first()
+    total = counts.agg(F.sum("n").alias("n")).first().n
+    uneven = full.groupBy("group_no").agg(F.count(F.lit(1)).alias("n"), F.min("no_in_group").alias("lo"), F.max("no_in_group").alias("hi"), F.count_distinct("no_in_group").alias("d"))
+    bad = [w for w, ok in (("repeated words", one.d == one.n), ("numbers", one.n == 0 or (one.lo, one.hi, one.g) == (1, one.n, one.n)), ("sum of counts", one.s == total)) if not ok]
+    bad += [f"numbers of group {r.group_no}" for r in uneven.where("lo <> 1 or hi <> n or d <> n").orderBy("group_no").limit(100).collect()]
+    if bad:
+        raise gate.GateFailed([f"ledger: {x}" for x in bad])
+
+
 def check_split(spark: SparkSession, folder: str, files: list[str], full: DataFrame) -> None:
     """The written files read again hold the whole ledger: rows, no word twice, numbers 1..N, sum of counts."""
     word, no, count = LEDGER_COLUMNS["word"], LEDGER_COLUMNS["global_no"], LEDGER_COLUMNS["count"]

@@ -123,3 +123,5 @@ ABSENT_ACTION = (
 #: What the done column of a tracker may say, and what of it means done.
 DONE_ALLOWED = ("yes", "no", "true", "false", "نعم", "لا", "", "nan")
 DONE_YES = ("yes", "true", "نعم")
+#: Rows and tokens that the standing ledger must have.
+LEDGER_ROWS, LEDGER_TOKENS = 17_576, 77_794

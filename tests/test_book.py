@@ -4,7 +4,7 @@ import zipfile
 import pytest
 
 from corpusmill.operators.gate import GateFailed
-from corpusmill.plans import book
+from corpusmill.plans import book, verify
 from corpusmill.sources import csvs, docx
 
 LINES = [
@@ -37,6 +37,10 @@ def test_whole_run(spark, tmp_path, capsys):
     assert (out / "new_words_per_surah.csv").read_text("utf-8-sig").splitlines()[1] == "الأولى,3,1,3,37.5"
     report = (out / "summary_report.md").read_text("utf-8")
     assert all(f"## {i}. " in report for i in range(1, 8)) and "| **A** | 11 |" in report
+    ok, lines = verify.run(spark, str(out / "quran_corpus.csv"), str(out / "quran_words_by_surah.csv"), 8, 9)
+    assert ok and "done 0, pending 8, 0.00%" in lines and sum(x.startswith("next") for x in lines) == 3
+    ok, lines = verify.run(spark, str(out / "quran_corpus.csv"), str(out / "surah_files/001 - الأولى.csv"), 8, 9)
+    assert not ok and [x[:6] for x in lines[:9]] == ["[no] 1", "[ok] 2", "[ok] 3", "[ok] 4", "[no] 5", "[no] 6", "[ok] 6", "[ok] 7", "[ok] 8"]
     hist = (out / "frequency_distribution.csv").read_text("utf-8-sig").splitlines()
     assert hist[1] == "1,7,7" and hist[-1] == "100+,0,0" and len(hist) == 101
     capsys.readouterr()
@@ -89,3 +93,13 @@ def test_stream_of_units(spark, tmp_path):
     q = streaming.start(streaming.running_counts(streaming.read_units(spark, str(tmp_path / "u"))), "running", str(tmp_path / "c"))
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("running").collect())) == [("x", 2, "1:1"), ("y", 2, "1:1")]
+
+
+def test_ledger_gate(spark):
+    good = [("a", 1, 1, 1, 2), ("b", 1, 2, 2, 1), ("c", 2, 3, 1, 1)]
+    schema = "word string, group_no long, global_no long, no_in_group long, count long"
+    counts = spark.createDataFrame([(4,)], "n long")
+    book.check_ledger(spark.createDataFrame(good, schema), counts)
+    for bad in ([*good[:2], ("b", 2, 3, 1, 1)], [*good[:2], ("c", 2, 4, 1, 1)], [*good[:2], ("c", 2, 3, 2, 1)], [*good[:2], ("c", 2, 3, 1, 9)]):
+        with pytest.raises(GateFailed):
+            book.check_ledger(spark.createDataFrame(bad, schema), counts)
