@@ -250,7 +250,7 @@ class Vocabulary:
 
 
 #: Words that a worker keeps, in each of two generations, and the longest word that it keeps.
-CACHE, CACHED_WORD = 150_000, 64
+CACHE, CACHED_WORD = 100_000, 64
 #: Letters and numbers that the regex module (2026.9.29) knows beyond Unicode 16. Fixed values.
 LATER_LETTERS = (
     "558-558 58B-58C 88F-88F C5C-C5C CDC-CDC 208F-208F 209D-209F A7CE-A7CF A7D2-A7D2 A7D4-A7D4 A7DD-A7DD A7E2-A7E2 A7F1-A7F1 "
@@ -369,20 +369,16 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text_col: str = "te
     ``path`` is the rank file's place, the same on all machines.
     """
 
-    @F.pandas_udf("string")
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("struct<ids string, decoded binary>")
+    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         worker = codec(path, pattern)
         for texts in parts:
-            yield pd.Series(list(map(worker.encode, texts)), dtype=object)
-
-    @F.pandas_udf("binary")
-    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        worker = codec(path, pattern)
-        for ids in parts:
-            yield pd.Series(list(map(worker.decode, ids)), dtype=object)
+            ids = list(map(worker.encode, texts))
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(list(map(worker.decode, ids)), dtype=object)})
 
+    # one worker a task does both: two would double the memory
     common.ready_for_python(df.sparkSession)
-    return df.withColumn("ids", encode(df[text_col].cast("string"))).withColumn("decoded", decode(F.col("ids")))
+    return df.withColumn("_bpe", both(df[text_col].cast("string"))).withColumns({"ids": F.col("_bpe.ids"), "decoded": F.col("_bpe.decoded")}).drop("_bpe")
 
 
 def encode_documents_native(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
