@@ -6,9 +6,8 @@ bounded sample of sort keys to the driver, as any range partitioner does.
 
 from __future__ import annotations
 
+import json
 import tempfile
-from bisect import bisect_right
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions.shipping import ship
 
-#: Keys that a range split samples for each of its buckets.
-SAMPLES_PER_BUCKET = 48
+#: Keys that a range split samples for each of its buckets, and buckets for each partition: several
+#: small buckets fill a partition more evenly than one.
+SAMPLES_PER_BUCKET, BUCKETS_PER_PARTITION = 16, 4
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -67,7 +67,12 @@ def least_hashes(rows: DataFrame, by: str, ident: Column, counts: dict, each: in
 
 
 def buckets_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def deal(df: DataFrame, bucket: str) -> DataFrame:
+    """``df`` with each bucket whole in one partition."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), bucket)
 
 
 def splitters(keys: DataFrame, n_rows: int, n: int, salt: Column) -> list[tuple]:
@@ -88,31 +93,25 @@ def splitters(keys: DataFrame, n_rows: int, n: int, salt: Column) -> list[tuple]
 
 
 def bucket_of(bounds: list[tuple], columns: list[Column], types: list[str]) -> Column:
-    """Number of splitters not above the row's key, by binary decisions (log2 n comparisons)."""
-
-    def literal(value: object, kind: str) -> Column:
-        return F.lit(value).cast(kind)
-
-    def at_least(bound: tuple) -> Column:
-        tests = []
-        for i, (value, kind) in enumerate(zip(bound, types)):
-            same = [columns[j] == literal(bound[j], types[j]) for j in range(i)]
-            last = columns[i] >= literal(value, kind) if i == len(bound) - 1 else columns[i] > literal(value, kind)
-            tests.append(reduce(lambda a, b: a & b, [*same, last]))
-        return reduce(lambda a, b: a | b, tests)
+    """Number of splitters not above the row's key: a binary search in one literal array.
 
-    def decide(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(at_least(bounds[mid]), decide(mid + 1, high)).otherwise(decide(low, mid))
-
-    return decide(0, len(bounds)).cast("int")
-
-
-def bucket_in_python(bounds: list[tuple], key: tuple) -> int:
-    """What :func:`bucket_of` gives for one key."""
-    return bisect_right(bounds, key)
+    The expression has the same size for any number of splitters.
+    """
+    if not bounds:
+        return F.lit(0)
+    names = [f"c{i}" for i in range(len(types))]
+    rows = json.dumps([dict(zip(names, b)) for b in bounds])
+    table = F.from_json(F.lit(rows), "array<struct<" + ",".join(f"{n}:{t}" for n, t in zip(names, types)) + ">>")
+    key = F.struct(*[c.cast(t).alias(n) for c, t, n in zip(columns, types, names)])
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        above = F.when(key >= F.get(table, mid), F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), mid.alias("hi")))
+        return F.when(s["lo"] < s["hi"], above).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, start, halve, lambda s: s["lo"])
 
 
 def small_or_not(df: DataFrame, rows: int, most: int) -> DataFrame:

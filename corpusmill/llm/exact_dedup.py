@@ -67,7 +67,7 @@ def exact_dedup(
 
     best = F.min if keep == "smallest" else F.max
     # an exchange on the bucket alone keeps a bucket whole; the sort is Spark's external one
-    dealt = dealt.repartition(n, "bucket")
+    dealt = common.deal(dealt, "bucket")
     same = Window.partitionBy("bucket", "p", "h", "t")
     first = same.orderBy(F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last())
     grouped = dealt.select(

@@ -106,7 +106,7 @@ def with_next(df: DataFrame, columns: list[str], buckets: int | None = None) ->
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("extra"))
     also = F.struct(before.cast("int").alias("bucket"), F.lit(True).alias("extra"))
     dealt = df.select("*", F.explode(F.when(key.isin([s for s in starts if s is not None]), F.array(own, also)).otherwise(F.array(own))).alias("to"))
-    dealt = dealt.select(*df.columns, "to.bucket", "to.extra").repartition(n, "bucket")
+    dealt = common.deal(dealt.select(*df.columns, "to.bucket", "to.extra"), "bucket")
     order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").asc_nulls_last(), "t")
     return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where(~F.col("extra")).drop("bucket", "extra")
 
