@@ -40,7 +40,7 @@ from . import common
 #: Distinct fingerprints up to which a variant's pairs are compared directly.
 BUCKET = 12
 #: Shingles whose bits are counted at once.
-BLOCK = 65_536
+BLOCK = 8_160
 
 
 def bit_sums(hashes: np.ndarray) -> np.ndarray:

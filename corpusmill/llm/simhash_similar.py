@@ -12,17 +12,18 @@ segments of ``SEGMENT`` bits, every segment is indexed with each of its bits
 deleted in turn, and texts that share a variant (a segment that differs in one
 bit at most) are compared over all bits. Clearly fewer differing bits than the
 similarity implies make a link; about as many are settled by the exact Jaccard
-similarity of the two texts. Chance that two texts share a variant: 0.92 at a
-similarity of 0.8, 0.99 at 0.85, 0.9995 at 0.9; classes close over chains of
+similarity of the two texts. Chance that two texts share a variant: 0.86 at a
+similarity of 0.8, 0.97 at 0.85, 0.997 at 0.9; classes close over chains of
 links, which finds more.
 
 Only distinct fingerprints are indexed, and texts that are known to be of one
-class are not compared again: first each fingerprint meets the one it shares
-most variants with, among the least of each variant; then every variant keeps
-one fingerprint of each class. Variants of up to ``PAIRS`` classes compare all
-of them; more crowded ones compare with their least and drop it, round by
-round, until none is left. ``SEGMENT`` bits serve up to some 10^8 distinct
-texts; beyond, it should grow with their logarithm.
+class are not compared again: first each fingerprint meets the ``LEADS`` that
+it shares most variants with, among the least of each variant; then every variant keeps
+one fingerprint of each class, and all of these that differ in few enough bits
+are emitted, each pair by the first variant that it shares only. A variant of
+more than ``CROWD`` classes compares them with its least one and drops that,
+round by round, until none is left. ``SEGMENT`` bits serve up to some 10^8
+distinct texts; beyond, it should grow with their logarithm.
 
 Defined results: texts without words have no shingle and form classes of their
 own; fewer words than a shingle make one shingle of all; repeated rows come
@@ -44,12 +45,14 @@ from pyspark.sql import functions as F
 from . import common
 from .simhash import bit_sums
 
-WORDS, SEGMENT = 12, 24
+WORDS, SEGMENT = 12, 26
 BITS = 64 * WORDS
-#: Classes of one variant up to which all pairs are compared.
-PAIRS = 8
-#: Standard deviations of the bit count within which the exact similarity decides.
-DOUBT = 2.5
+#: Classes of one variant up to which all of them are compared within one row.
+CROWD = 512
+#: Fingerprints that each one meets before variants are searched by class.
+LEADS = 4
+#: Standard deviations of the bit count under and over its mean within which the exact similarity decides.
+UNDER, OVER = 1.0, 1.5
 #: Texts fetched for exact comparison up to which their identifiers are broadcast.
 BROADCAST_TEXTS = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -58,8 +61,8 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 def bits_of_similarity(similarity: float) -> tuple[int, int]:
     """(most bits of a sure link, most bits of a possible one) for a Jaccard similarity."""
     share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    slack = DOUBT * math.sqrt(BITS * share * (1 - share))
-    return math.floor(BITS * share - slack), math.ceil(BITS * share + slack)
+    deviation = math.sqrt(BITS * share * (1 - share))
+    return math.floor(BITS * share - UNDER * deviation), math.ceil(BITS * share + OVER * deviation)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -106,15 +109,44 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def variants(fps: DataFrame) -> DataFrame:
-    """``(k, f)``: all one-bit deletions of all segments of ``fps(f, words)``."""
-    low = (1 << SEGMENT) - 1
-    segments = F.flatten(F.transform("words", lambda w: F.array(w.bitwiseAND(F.lit(low).cast("long")), F.shiftrightunsigned(w, SEGMENT).bitwiseAND(F.lit(low).cast("long")))))
-    rows = fps.select("f", F.posexplode(segments).alias("s", "seg"))
-    deleted = F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("j")
-    rows = rows.select("f", "s", "seg", deleted)
-    key = F.shiftleft((F.col("s") * SEGMENT + F.col("j")).cast("long"), SEGMENT).bitwiseOR(F.col("seg").bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, j)"))))
-    return rows.select(key.alias("k"), "f")
+def segments(words: Column) -> Column:
+    """Two segments of each word, in order."""
+    low = F.lit((1 << SEGMENT) - 1).cast("long")
+    return F.flatten(F.transform(words, lambda w: F.array(w.bitwiseAND(low), F.shiftrightunsigned(w, SEGMENT).bitwiseAND(low))))
+
+
+def variant_key(number: Column, segment: Column, bit: Column) -> Column:
+    cleared = segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
+    return F.shiftleft((number * SEGMENT + bit).cast("long"), SEGMENT).bitwiseOR(cleared)
+
+
+def shared_variants(fps: DataFrame) -> DataFrame:
+    """``(k, f)`` of all one-bit deletions of all segments of ``fps(f, words)`` that two or more share.
+
+    Equal segments share every deletion: they are kept at the first one only.
+    So of a later one, what stays is where the deleted bit itself differs.
+    """
+    rows = fps.select("f", F.posexplode(segments(F.col("words"))).alias("s", "seg"))
+    rows = rows.select("f", "s", "seg", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("j"))
+    # the deleted bit rides in the lowest bit of the number
+    bit = F.call_function("shiftright", F.col("seg"), F.col("j")).bitwiseAND(F.lit(1))
+    rows = rows.select(variant_key(F.col("s"), F.col("seg"), F.col("j")).alias("k"), (F.col("f") * 2 + bit).alias("x"))
+    every, last = Window.partitionBy("k"), F.col("x").bitwiseAND(F.lit(1))
+    rows = rows.select("k", "x", F.count(F.lit(1)).over(every).alias("n"), F.min(last).over(every).alias("lo"), F.max(last).over(every).alias("hi"))
+    first = F.shiftright("k", SEGMENT) % SEGMENT == 0
+    return rows.where((F.col("n") > 1) & (first | (F.col("lo") != F.col("hi")))).select("k", F.shiftright("x", 1).alias("f"))
+
+
+def first_shared(a: Column, b: Column) -> Column:
+    """The least variant key that two word arrays share, null if none."""
+
+    def key(pair: Column, number: Column) -> Column:
+        differs = pair["x"].bitwiseXOR(pair["y"])
+        bit = F.when(differs == 0, F.lit(0)).otherwise(F.round(F.log2(differs.cast("double"))).cast("int"))
+        return F.when(F.bit_count(differs) <= 1, variant_key(number, pair["x"], bit))
+
+    both = F.zip_with(segments(a), segments(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.array_min(F.transform(both, key))
 
 
 def compared(pairs: DataFrame, fps: DataFrame) -> DataFrame:
@@ -123,34 +155,46 @@ def compared(pairs: DataFrame, fps: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", differing(F.col("wa"), F.col("wb")).alias("d"))
 
 
+def pairs_within(rows: DataFrame, fps: DataFrame, most: int) -> DataFrame:
+    """``(a, b, d)``: pairs of each variant of ``rows(k, f)`` with ``most`` differing bits at most, each once."""
+    member = F.struct("f", "words")
+    groups = rows.join(fps, "f").groupBy("k").agg(F.array_sort(F.collect_list(member)).alias("m"))
+
+    def close(x: Column, i: Column) -> Column:
+        later = F.slice(F.col("m"), i + 2, F.size("m"))
+        met = F.transform(later, lambda y: F.struct(x["f"].alias("a"), y["f"].alias("b"), differing(x["words"], y["words"]).alias("d"), y["words"].alias("w")))
+        near = F.filter(met, lambda p: (p["d"] <= most) & (first_shared(x["words"], p["w"]) == F.col("k")))
+        return F.transform(near, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["d"].alias("d")))
+
+    return groups.select(F.explode(F.flatten(F.transform("m", close))).alias("p")).select("p.*")
+
+
 def similar_links(fps: DataFrame, sure: int, possible: int) -> tuple[DataFrame, DataFrame]:
     """(links, pairs in doubt), both ``(a, b)``, of ``fps(f, words)``."""
-    rows = variants(fps).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where(F.col("n") > 1).select("k", "f")
-    rows = common.cut(rows)
+    rows = common.cut(shared_variants(fps))
     lead = F.min("f").over(Window.partitionBy("k"))
     led = rows.select(lead.alias("a"), F.col("f").alias("b")).where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    best = led.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where("r = 1")
-    tested = common.cut(compared(best.select("a", "b"), fps))
-    links, doubt = tested.where(F.col("d") <= sure).select("a", "b"), tested.where((F.col("d") > sure) & (F.col("d") <= possible)).select("a", "b")
+    best = led.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where(F.col("r") <= LEADS)
+    tried = common.cut(best.select("a", "b"))
+    tested = common.cut(compared(tried, fps).where(F.col("d") <= possible))
     while True:
-        roots = common.connected_components(links)
+        roots = common.connected_components(tested.where(F.col("d") <= sure).select("a", "b"))
         named = rows.join(roots, rows.f == roots.node, "left").select("k", "f", F.coalesce("root", "f").alias("root"))
         once = named.groupBy("k", "root").agg(F.min("f").alias("f"))
         every = Window.partitionBy("k")
         met = once.select("k", "f", F.count(F.lit(1)).over(every).alias("n"), F.min("f").over(every).alias("lead")).where(F.col("n") > 1)
         met = common.cut(met)
-        if met.isEmpty():
-            return links, doubt
-        few, many = met.where(F.col("n") <= PAIRS), met.where(F.col("n") > PAIRS)
-        x, y = few.select("k", F.col("f").alias("a")), few.select("k", F.col("f").alias("b"))
-        pairs = x.join(y, "k").where(F.col("a") < F.col("b")).select("a", "b")
-        pairs = pairs.unionAll(many.select(F.col("lead").alias("a"), F.col("f").alias("b")).where(F.col("a") != F.col("b"))).distinct()
-        tested = common.cut(compared(pairs, fps).where(F.col("d") <= possible))
-        links = common.cut(links.unionAll(tested.where(F.col("d") <= sure).select("a", "b")))
-        doubt = common.cut(doubt.unionAll(tested.where(F.col("d") > sure).select("a", "b")))
-        rows = common.cut(many.where(F.col("f") != F.col("lead")).select("k", "f"))
+        crowd = met.where(F.col("n") > CROWD)
+        # two alone in a variant, or a crowd and its least one: pairs as they are, without those that have met
+        star = met.where(((F.col("n") == 2) | (F.col("n") > CROWD)) & (F.col("f") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("f").alias("b")).distinct()
+        star = compared(star.join(tried, ["a", "b"], "left_anti"), fps)
+        some = met.where((F.col("n") > 2) & (F.col("n") <= CROWD)).select("k", "f")
+        found = pairs_within(some, fps, possible).unionAll(star.where(F.col("d") <= possible))
+        tested = common.cut(tested.unionAll(found))
+        rows = crowd.where(F.col("f") != F.col("lead")).select("k", "f")
         if rows.isEmpty():
-            return links, doubt
+            return tested.where(F.col("d") <= sure).select("a", "b"), tested.where(F.col("d") > sure).select("a", "b")
+        rows = common.cut(rows)
 
 
 def settled(doubt: DataFrame, fps: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
@@ -166,9 +210,12 @@ def settled(doubt: DataFrame, fps: DataFrame, df: DataFrame, id_col: str, text_c
     text = df[text_col].cast("string")
     wanted = common.small_or_not(asked, asked.count(), BROADCAST_TEXTS)
     rows = df.select(df[id_col].alias("i"), text.alias("t")).join(wanted, F.col("i").eqNullSafe(F.col("rep")))
+    # cut before Python reads them: else the whole of df would be fingerprinted again
+    rows = common.cut(rows.select("f", "words", "t"))
     # rows that repeat an identifier with another text have another fingerprint
     rows = rows.withColumn("w", fingerprint_udf(width)("t")).where(F.col("w") == F.col("words"))
-    sets = common.cut(rows.select("f", "t").groupBy("f").agg(F.min("t").alias("t")).select("f", shingles("t").alias("s")))
+    rows = common.cut(rows.select("f", "t"))
+    sets = common.cut(rows.groupBy("f").agg(F.min("t").alias("t")).select("f", shingles("t").alias("s")))
     left, right = sets.select(F.col("f").alias("a"), F.col("s").alias("sa")), sets.select(F.col("f").alias("b"), F.col("s").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     both = doubt.join(left, "a").join(right, "b")
@@ -177,7 +224,7 @@ def settled(doubt: DataFrame, fps: DataFrame, df: DataFrame, id_col: str, text_c
 
 def near_dedup_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id (the least identifier of its class): one row per input row."""
-    common.small_batches(df.sparkSession)
+    common.ready_for_python(df.sparkSession)
     words = fingerprint_udf(width)(df[text_col].cast("string"))
     prints = common.cut(df.select(df[id_col].alias("doc_id"), words.alias("words")))
     known = prints.where("words is not null")
@@ -189,8 +236,15 @@ def near_dedup_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # pairs in doubt that are of one class anyway need no look at their texts
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
     apart = doubt.distinct().join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = settled(common.cut(apart), fps, df, id_col, text_col, width, similarity)
-    roots = common.connected_components(links.unionAll(more))
+    more = common.cut(settled(common.cut(apart), fps, df, id_col, text_col, width, similarity))
+    if not more.isEmpty():
+        # classes of classes: the pairs settled tie the roots that are there
+        ends = more.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        upper = common.connected_components(ends)
+        up = upper.select(F.col("node").alias("u"), F.col("root").alias("top"))
+        lower = roots.join(up, roots.root == up.u, "left").select("node", F.coalesce("top", "root").alias("root"))
+        alone = upper.join(roots.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti")
+        roots = lower.unionAll(alone)
     named = fps.join(roots, fps.f == roots.node, "left").select("words", "rep", "n", F.coalesce("root", "f").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = common.cut(named.select("words", "n", "root").join(least, "root").select("words", "n", "component_id"))
