@@ -58,6 +58,8 @@ def bucket(bounds: list[tuple], df: DataFrame, order: list[tuple[str, bool]]) ->
 
 def with_row_number(df: DataFrame, order: list[tuple[str, bool]], out: str, buckets: int | None = None) -> DataFrame:
     """``df`` with BIGINT ``out`` = 1..N in the order given, which must be total and without nulls."""
+    # read four times: to count, to sample, to count buckets and to number
+    df = df.persist()
     n = buckets or min(MOST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     bounds = splitters(df, order, n)
     dealt = df.withColumn("_bucket", bucket(bounds, df, order))
