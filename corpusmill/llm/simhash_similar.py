@@ -7,23 +7,25 @@ wide SimHash of the set of shingles, ``WORDS`` words of 64 bits. Two texts of
 Jaccard similarity J have sets at an angle of arccos(2J / (1 + J)), and differ
 in that share of pi of their bits.
 
-Candidates come from the same deletion-variant index: each word gives two
-segments of ``SEGMENT`` bits, every segment is indexed with each of its bits
-deleted in turn, and texts that share a variant (a segment that differs in one
-bit at most) are compared over all bits. Clearly fewer differing bits than the
-similarity implies make a link; about as many are settled by the exact Jaccard
-similarity of the two texts. Chance that two texts share a variant: 0.86 at a
-similarity of 0.8, 0.97 at 0.85, 0.997 at 0.9; classes close over chains of
-links, which finds more.
+Candidates come from the same deletion-variant index: the bits of all words
+are cut into segments of ``SEGMENT`` bits, every segment is indexed with each
+of its bits deleted in turn, and texts that share a variant (a segment that
+differs in one bit at most) are compared over all bits. Far fewer differing
+bits than the similarity implies make a link; all others up to far more are
+settled by the exact Jaccard similarity of the two texts. Chance that two texts
+share a variant, by the bit model: 0.86 at a similarity of 0.8, 0.97 at 0.85,
+0.997 at 0.9; classes close over chains of links, which finds more. The bit
+model needs many shingles: two texts of few (below 10 at a similarity of 0.8)
+are linked exactly, by the sets that are left when one shingle is taken away.
 
 Only distinct fingerprints are indexed, and texts that are known to be of one
-class are not compared again: first each fingerprint meets the ``LEADS`` that
-it shares most variants with, among the least of each variant; then every variant keeps
-one fingerprint of each class, and all of these that differ in few enough bits
-are emitted, each pair by the first variant that it shares only. A variant of
-more than ``CROWD`` classes compares them with its least one and drops that,
-round by round, until none is left. ``SEGMENT`` bits serve up to some 10^8
-distinct texts; beyond, it should grow with their logarithm.
+class are not compared again. First each fingerprint meets the ``LEADS`` that
+it shares most variants with, among the least of each variant. Then all
+candidates of two different classes are compared, whichever members of them
+share a variant: classes are passed over only where the triangle inequality
+over their roots leaves no pair of members within the bound. Variants of more
+than ``CROWD`` classes are dealt out in blocks. ``SEGMENT`` bits serve up to
+some 10^8 distinct texts; beyond, it should grow with their logarithm.
 
 Defined results: texts without words have no shingle and form classes of their
 own; fewer words than a shingle make one shingle of all; repeated rows come
@@ -47,12 +49,14 @@ from .simhash import bit_sums
 
 WORDS, SEGMENT = 12, 26
 BITS = 64 * WORDS
-#: Classes of one variant up to which all of them are compared within one row.
+#: Classes of one variant up to which all of them are paired within one row.
 CROWD = 512
 #: Fingerprints that each one meets before variants are searched by class.
 LEADS = 4
 #: Standard deviations of the bit count under and over its mean within which the exact similarity decides.
 UNDER, OVER = 1.0, 1.5
+#: Texts of fewer shingles are never linked by their bits alone.
+SURE_SIZE = 64
 #: Texts fetched for exact comparison up to which their identifiers are broadcast.
 BROADCAST_TEXTS = 100_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -85,22 +89,33 @@ def shingle_hashes(text: str | None, width: int) -> set[int]:
     return {digest(joined[a:b], 42) for a, b in zip(first, (ends[width - 1 :] - 1).tolist())}
 
 
-def wide_simhash(text: str | None, width: int) -> list[int] | None:
-    """``WORDS`` signed longs from the set of shingles; None without words."""
-    hashes = shingle_hashes(text, width)
-    if not hashes:
-        return None
+def wide_simhash(hashes: set[int]) -> list[int]:
+    """``WORDS`` signed longs from a set of shingle hashes that is not empty."""
     base = np.fromiter(hashes, np.uint64, len(hashes))
     with np.errstate(over="ignore"):
         wide = np.stack([_mixed(base + np.uint64(k) * _STEP) for k in range(WORDS)], axis=1)
     return np.packbits(2 * bit_sums(wide) > len(base), bitorder="little").view("<i8").tolist()
 
 
-def fingerprint_udf(width: int):
+def short_size(similarity: float) -> int:
+    """Most shingles of sets that can't be as similar as asked for if one has two that the other lacks."""
+    return min(SURE_SIZE, math.ceil(2 / max(1 - similarity, 1e-9) - 1e-9) - 1)
+
+
+def fingerprint_udf(width: int, short: int = 0):
+    """The words, the number of shingles, and up to ``short`` shingles themselves, ascending; null without words."""
+
+    def one(text: str | None) -> list[int] | None:
+        hashes = shingle_hashes(text, width)
+        if not hashes:
+            return None
+        few = np.sort(np.fromiter(hashes, np.uint64).view(np.int64)).tolist() if len(hashes) <= short else []
+        return [*wide_simhash(hashes), len(hashes), *few]
+
     @F.pandas_udf("array<bigint>")
     def fingerprint(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
-            yield pd.Series([wide_simhash(t, width) for t in texts], dtype=object)
+            yield pd.Series([one(t) for t in texts], dtype=object)
 
     return fingerprint
 
@@ -137,64 +152,97 @@ def shared_variants(fps: DataFrame) -> DataFrame:
     return rows.where((F.col("n") > 1) & (first | (F.col("lo") != F.col("hi")))).select("k", F.shiftright("x", 1).alias("f"))
 
 
-def first_shared(a: Column, b: Column) -> Column:
-    """The least variant key that two word arrays share, null if none."""
+def compared(pairs: DataFrame, fps: DataFrame) -> DataFrame:
+    """``(a, b, d, least, most)``: differing bits of each distinct pair, shingles of its smaller and its larger text."""
+    left = fps.select(F.col("f").alias("a"), F.col("words").alias("wa"), F.col("size").alias("na"))
+    right = fps.select(F.col("f").alias("b"), F.col("words").alias("wb"), F.col("size").alias("nb"))
+    found = pairs.join(left, "a").join(right, "b")
+    return found.select("a", "b", differing(F.col("wa"), F.col("wb")).alias("d"), F.least("na", "nb").alias("least"), F.greatest("na", "nb").alias("most"))
 
-    def key(pair: Column, number: Column) -> Column:
-        differs = pair["x"].bitwiseXOR(pair["y"])
-        bit = F.when(differs == 0, F.lit(0)).otherwise(F.round(F.log2(differs.cast("double"))).cast("int"))
-        return F.when(F.bit_count(differs) <= 1, variant_key(number, pair["x"], bit))
 
-    both = F.zip_with(segments(a), segments(b), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    return F.array_min(F.transform(both, key))
+def short_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: links that tie all pairs of ``sets(f, few)`` of the similarity asked for; exact.
 
+    Of such a pair, neither set has two shingles that the other lacks: the
+    shared ones are a whole set, or a set without one shingle, on both sides.
+    """
+    without = F.transform("few", lambda x: F.array_remove("few", x))
+    rows = sets.select("f", F.explode(F.concat(F.array("few"), without)).alias("core"), F.size("few").alias("size"))
+    rows = rows.select("f", F.xxhash64("core").alias("k"), F.size("core").alias("c"), (F.size("core") == F.col("size")).alias("whole")).where("c > 0")
+    ends = rows.groupBy("k", "c").agg(F.min(F.when(F.col("whole"), F.col("f"))).alias("all"), F.min("f").alias("least"))
+    wide = F.col("c") >= F.lit(similarity) * (F.col("c") + 2) - 1e-9
+    narrow = F.col("c") >= F.lit(similarity) * (F.col("c") + 1) - 1e-9
+    ends = ends.select("k", "c", F.when(wide, F.col("least")).when(narrow, F.col("all")).alias("a")).where("a is not null")
+    return rows.join(ends, ["k", "c"]).where(F.col("f") != F.col("a")).select("a", F.col("f").alias("b")).distinct()
+
+
+def lead_pairs(rows: DataFrame) -> DataFrame:
+    """``(a, b)``: each b with the ``LEADS`` that it shares most variants with, among the least of each variant."""
+    lead = F.min("f").over(Window.partitionBy("k"))
+    led = rows.select(lead.alias("a"), F.col("f").alias("b")).where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+    best = led.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where(F.col("r") <= LEADS)
+    return best.select("a", "b")
 
-def compared(pairs: DataFrame, fps: DataFrame) -> DataFrame:
-    """``(a, b, d)``: differing bits of each distinct pair."""
-    left, right = fps.select(F.col("f").alias("a"), F.col("words").alias("wa")), fps.select(F.col("f").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", differing(F.col("wa"), F.col("wb")).alias("d"))
 
+def class_pairs(named: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: roots that share a variant of ``named(k, root)``, each pair once.
 
-def pairs_within(rows: DataFrame, fps: DataFrame, most: int) -> DataFrame:
-    """``(a, b, d)``: pairs of each variant of ``rows(k, f)`` with ``most`` differing bits at most, each once."""
-    member = F.struct("f", "words")
-    groups = rows.join(fps, "f").groupBy("k").agg(F.array_sort(F.collect_list(member)).alias("m"))
+    The classes of a crowded variant are dealt to blocks, and each two blocks meet in a row of their own.
+    """
+    spots = named.select("k", "root").distinct()
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("k")) / F.lit(CROWD)).cast("int")
+    spots = spots.withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("root"), F.col("n")).cast("int"))
+    spots = spots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = spots.groupBy("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("root", "own"))).alias("m"))
 
-    def close(x: Column, i: Column) -> Column:
-        later = F.slice(F.col("m"), i + 2, F.size("m"))
-        met = F.transform(later, lambda y: F.struct(x["f"].alias("a"), y["f"].alias("b"), differing(x["words"], y["words"]).alias("d"), y["words"].alias("w")))
-        near = F.filter(met, lambda p: (p["d"] <= most) & (first_shared(x["words"], p["w"]) == F.col("k")))
-        return F.transform(near, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["d"].alias("d")))
+    def later(x: Column, i: Column) -> Column:
+        rest = F.filter(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: (F.col("lo") == F.col("hi")) | (x["own"] != y["own"]))
+        return F.transform(rest, lambda y: F.struct(x["root"].alias("a"), y["root"].alias("b")))
 
-    return groups.select(F.explode(F.flatten(F.transform("m", close))).alias("p")).select("p.*")
+    return met.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*").distinct()
 
 
-def similar_links(fps: DataFrame, sure: int, possible: int) -> tuple[DataFrame, DataFrame]:
-    """(links, pairs in doubt), both ``(a, b)``, of ``fps(f, words)``."""
-    rows = common.cut(shared_variants(fps))
-    lead = F.min("f").over(Window.partitionBy("k"))
-    led = rows.select(lead.alias("a"), F.col("f").alias("b")).where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    best = led.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where(F.col("r") <= LEADS)
-    tried = common.cut(best.select("a", "b"))
-    tested = common.cut(compared(tried, fps).where(F.col("d") <= possible))
-    while True:
-        roots = common.connected_components(tested.where(F.col("d") <= sure).select("a", "b"))
-        named = rows.join(roots, rows.f == roots.node, "left").select("k", "f", F.coalesce("root", "f").alias("root"))
-        once = named.groupBy("k", "root").agg(F.min("f").alias("f"))
-        every = Window.partitionBy("k")
-        met = once.select("k", "f", F.count(F.lit(1)).over(every).alias("n"), F.min("f").over(every).alias("lead")).where(F.col("n") > 1)
-        met = common.cut(met)
-        crowd = met.where(F.col("n") > CROWD)
-        # two alone in a variant, or a crowd and its least one: pairs as they are, without those that have met
-        star = met.where(((F.col("n") == 2) | (F.col("n") > CROWD)) & (F.col("f") != F.col("lead"))).select(F.col("lead").alias("a"), F.col("f").alias("b")).distinct()
-        star = compared(star.join(tried, ["a", "b"], "left_anti"), fps)
-        some = met.where((F.col("n") > 2) & (F.col("n") <= CROWD)).select("k", "f")
-        found = pairs_within(some, fps, possible).unionAll(star.where(F.col("d") <= possible))
-        tested = common.cut(tested.unionAll(found))
-        rows = crowd.where(F.col("f") != F.col("lead")).select("k", "f")
-        if rows.isEmpty():
-            return tested.where(F.col("d") <= sure).select("a", "b"), tested.where(F.col("d") > sure).select("a", "b")
-        rows = common.cut(rows)
+def member_pairs(rows: DataFrame, roots: DataFrame, fps: DataFrame, most: int) -> DataFrame:
+    """``(a, b)``: pairs of different classes that share a variant of ``rows(k, f)``.
+
+    All of them, but those that the triangle inequality shows to differ in more
+    than ``most`` bits: d(a, b) >= d(root of a, root of b) - d(a, its root) - d(b, its root).
+    """
+    own = compared(roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")), fps)
+    own = common.cut(own.select(F.col("a").alias("node"), F.col("b").alias("root"), F.col("d").alias("e")))
+    named = rows.join(roots, rows.f == roots.node, "left").select("k", "f", F.coalesce("root", "f").alias("root"))
+    every = Window.partitionBy("k")
+    named = named.withColumn("lo", F.min("root").over(every)).withColumn("hi", F.max("root").over(every)).where(F.col("lo") != F.col("hi"))
+    named = common.cut(named.select("k", "f", "root"))
+    wide = own.groupBy("root").agg(F.max("e").alias("e"))
+    wa, wb = wide.select(F.col("root").alias("a"), F.col("e").alias("ea")), wide.select(F.col("root").alias("b"), F.col("e").alias("eb"))
+    near = compared(class_pairs(named), fps).join(wa, "a", "left").join(wb, "b", "left")
+    near = common.cut(near.where(F.col("d") <= most + F.coalesce("ea", F.lit(0)) + F.coalesce("eb", F.lit(0))).select(F.col("a").alias("ra"), F.col("b").alias("rb"), "d"))
+    placed = named.join(own.select(F.col("node").alias("f"), "e"), "f", "left").select("k", "f", "root", F.coalesce("e", F.lit(0)).alias("e"))
+    one = placed.select("k", F.col("f").alias("a"), F.col("root").alias("ra"), F.col("e").alias("ea")).join(near, "ra")
+    two = placed.select("k", F.col("f").alias("b"), F.col("root").alias("rb"), F.col("e").alias("eb"))
+    met = one.join(two, ["k", "rb"]).where(F.col("ea") + F.col("eb") >= F.col("d") - most)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def tied(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``(node, root)`` of the classes ``roots`` and the further ``links(a, b)``, written."""
+    links = common.cut(apart(roots, links))
+    if links.isEmpty():
+        return roots
+    # classes of classes: the links tie the roots that are there
+    upper = common.connected_components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    up = upper.select(F.col("node").alias("u"), F.col("root").alias("top"))
+    lower = roots.join(up, roots.root == up.u, "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = upper.join(roots.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti")
+    return common.cut(lower.unionAll(alone))
+
+
+def apart(roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(a, b, ra, rb)``: the pairs of two classes, with their roots."""
+    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    named = pairs.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    return named.where(F.col("ra") != F.col("rb"))
 
 
 def settled(doubt: DataFrame, fps: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
@@ -213,7 +261,7 @@ def settled(doubt: DataFrame, fps: DataFrame, df: DataFrame, id_col: str, text_c
     # cut before Python reads them: else the whole of df would be fingerprinted again
     rows = common.cut(rows.select("f", "words", "t"))
     # rows that repeat an identifier with another text have another fingerprint
-    rows = rows.withColumn("w", fingerprint_udf(width)("t")).where(F.col("w") == F.col("words"))
+    rows = rows.withColumn("w", F.slice(fingerprint_udf(width)("t"), 1, WORDS)).where(F.col("w") == F.col("words"))
     rows = common.cut(rows.select("f", "t"))
     sets = common.cut(rows.groupBy("f").agg(F.min("t").alias("t")).select("f", shingles("t").alias("s")))
     left, right = sets.select(F.col("f").alias("a"), F.col("s").alias("sa")), sets.select(F.col("f").alias("b"), F.col("s").alias("sb"))
@@ -225,26 +273,31 @@ def settled(doubt: DataFrame, fps: DataFrame, df: DataFrame, id_col: str, text_c
 def near_dedup_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id (the least identifier of its class): one row per input row."""
     common.ready_for_python(df.sparkSession)
-    words = fingerprint_udf(width)(df[text_col].cast("string"))
-    prints = common.cut(df.select(df[id_col].alias("doc_id"), words.alias("words")))
+    found = fingerprint_udf(width, short_size(similarity))(df[text_col].cast("string"))
+    prints = common.cut(df.select(df[id_col].alias("doc_id"), found.alias("w")))
+    prints = prints.select("doc_id", F.slice("w", 1, WORDS).alias("words"), F.get("w", F.lit(WORDS)).alias("size"), F.slice("w", WORDS + 2, SURE_SIZE).alias("few"))
     known = prints.where("words is not null")
-    fps = known.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    fps = known.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
     # small ascending numbers, fixed by the write, take less room in the index than hashes
     fps = common.cut(fps.withColumn("f", F.monotonically_increasing_id()))
-    links, doubt = similar_links(fps.select("f", "words"), *bits_of_similarity(similarity))
-    roots = common.cut(common.connected_components(links))
-    # pairs in doubt that are of one class anyway need no look at their texts
-    ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    apart = doubt.distinct().join(ra, "a", "left").join(rb, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    more = common.cut(settled(common.cut(apart), fps, df, id_col, text_col, width, similarity))
-    if not more.isEmpty():
-        # classes of classes: the pairs settled tie the roots that are there
-        ends = more.join(ra, "a", "left").join(rb, "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        upper = common.connected_components(ends)
-        up = upper.select(F.col("node").alias("u"), F.col("root").alias("top"))
-        lower = roots.join(up, roots.root == up.u, "left").select("node", F.coalesce("top", "root").alias("root"))
-        alone = upper.join(roots.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti")
-        roots = lower.unionAll(alone)
+    short = short_links(known.where(F.size("few") > 0).select("words", "few").distinct().join(fps.select("words", "f"), "words"), similarity)
+    known = known.select("doc_id", "words")
+    sure, possible = bits_of_similarity(similarity)
+    roots = tied(fps.select(F.col("f").alias("node"), F.col("f").alias("root")).limit(0), short)
+
+    def with_links_of(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """The classes with those of ``pairs(a, b)`` that are similar; pairs of one class need no look at their texts."""
+        near = compared(pairs, fps).where((F.col("d") <= possible) & (F.col("least") >= F.lit(similarity) * F.col("most") - 1e-9))
+        near = common.cut(near.withColumn("sure", (F.col("d") <= sure) & (F.col("least") >= SURE_SIZE)))
+        roots = tied(roots, near.where("sure").select("a", "b"))
+        doubt = common.cut(apart(roots, near.where("not sure").select("a", "b")).select("a", "b"))
+        return roots if doubt.isEmpty() else tied(roots, settled(doubt, fps, df, id_col, text_col, width, similarity))
+
+    rows = common.cut(shared_variants(fps))
+    tried = common.cut(lead_pairs(rows))
+    roots = with_links_of(tried, roots)
+    rest = member_pairs(rows, roots, fps, possible)
+    roots = with_links_of(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), roots)
     named = fps.join(roots, fps.f == roots.node, "left").select("words", "rep", "n", F.coalesce("root", "f").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     classes = common.cut(named.select("words", "n", "root").join(least, "root").select("words", "n", "component_id"))

@@ -137,6 +137,48 @@ def test_similar_texts(spark):
     assert simhash.near_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def similar_classes(spark, texts, width=5):
+    """(class of each text, its shingles)."""
+    found = simhash_similar.near_dedup_similar(spark.createDataFrame(list(enumerate(texts)), DOCS), width=width).collect()
+    got = {r.doc_id: r.component_id for r in found}
+    return [got[i] for i in range(len(texts))], [simhash_similar.shingle_hashes(t, width) for t in texts]
+
+
+def edited(rng, base, edits, tag):
+    out = base[:]
+    for n, i in enumerate(rng.sample(range(len(base)), edits)):
+        out[i] = f"{tag}x{n}"
+    return out
+
+
+def test_all_candidates_of_two_classes_are_compared(spark):
+    """Every pair that shares a variant and is within the bound is of one class or given back, whatever the classes."""
+    rng = random.Random(9)
+    prints = []
+    for _ in range(4):
+        centre = rng.getrandbits(simhash_similar.BITS)
+        for _ in range(40):
+            prints.append(centre ^ sum(1 << b for b in rng.sample(range(simhash_similar.BITS), rng.randint(20, 90))))
+    words = [[(w - (1 << 64)) if (w := p >> 64 * i & (2**64 - 1)) >> 63 else w for i in range(simhash_similar.WORDS)] for p in prints]
+    fps = spark.createDataFrame([(i, w, 100) for i, w in enumerate(words)], "f long, words array<long>, size long")
+    size = simhash_similar.SEGMENT
+
+    def share(x, y):
+        differ = x ^ y
+        return any((differ >> s & ((1 << size) - 1)).bit_count() <= 1 for s in range(0, simhash_similar.BITS - size + 1, size))
+
+    n = len(prints)
+    root = [i - i % 10 if i % 4 else i for i in range(n)]
+    roots = spark.createDataFrame([(i, r) for i, r in enumerate(root)], "node long, root long")
+    rows = simhash_similar.shared_variants(fps)
+    for most in (110, 150):
+        found = {(r.a, r.b) for r in simhash_similar.member_pairs(rows, roots, fps, most).collect()}
+        want = {(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and share(prints[a], prints[b])}
+        assert {p for p in want if (prints[p[0]] ^ prints[p[1]]).bit_count() <= most} <= found <= want
 
 
 def test_imatch(spark, tmp_path):
