@@ -155,6 +155,26 @@ def edited(rng, base, edits, tag):
     return out
 
 
+def test_similar_hubs_and_chains(spark):
+    """Copies of which only few pairs are similar, in groups whose members share variants of several classes."""
+    rng = random.Random(8)
+    texts = []
+    for g in range(6):  # spokes are similar to the hub only, which comes last
+        base = [f"h{g}w{i}" for i in range(400)]
+        texts += [" ".join(edited(rng, base, 7, f"g{g}s{v}")) for v in range(60)] + [" ".join(base)]
+    for g in range(6):  # each similar to the one before
+        link = [f"c{g}w{i}" for i in range(400)]
+        for v in range(40):
+            link = edited(rng, link, 6, f"g{g}c{v}")
+            texts.append(" ".join(link))
+    got, sets = similar_classes(spark, texts)
+    n = len(texts)
+    close = [(a, b) for a in range(n) for b in range(a + 1, n) if jaccard(sets[a], sets[b]) >= 0.8]
+    assert sum(got[a] == got[b] for a, b in close) >= 0.98 * len(close)
+    want = classes(n, lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    assert all(want[a] == want[b] for a in range(n) for b in range(a + 1, n) if got[a] == got[b])
+
+
 def test_all_candidates_of_two_classes_are_compared(spark):
     """Every pair that shares a variant and is within the bound is of one class or given back, whatever the classes."""
     rng = random.Random(9)
@@ -181,6 +201,36 @@ def test_all_candidates_of_two_classes_are_compared(spark):
         assert {p for p in want if (prints[p[0]] ^ prints[p[1]]).bit_count() <= most} <= found <= want
 
 
+def test_similar_recall_at_the_threshold(spark):
+    """Lone pairs just over 0.8 are found as often as the index promises."""
+    rng = random.Random(10)
+    texts = []
+    for g in range(400):
+        base = [f"p{g}w{i}" for i in range(454)]
+        texts += [" ".join(base), " ".join(edited(rng, base, 10, f"e{g}"))]
+    got, sets = similar_classes(spark, texts)
+    near = [i for i in range(0, len(texts), 2) if 0.8 <= jaccard(sets[i], sets[i + 1]) < 0.83]
+    assert len(near) > 150
+    assert sum(got[i] == got[i + 1] for i in near) >= 0.95 * len(near)
+
+
+def test_short_similar_texts_are_exact(spark):
+    rng = random.Random(11)
+    texts = []
+    for g in range(12):
+        base = [f"t{g}w{i}" for i in range(rng.randint(1, 10))]
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join(["start", *base]), " ".join([*base, "other"]), " ".join(base[1:])]
+    got, sets = similar_classes(spark, texts, width=1)
+    keep = [i for i in range(len(texts)) if 0 < len(sets[i]) <= simhash_similar.short_size(0.8)]
+    assert simhash_similar.short_size(0.8) == 9
+    want = classes(len(keep), lambda a, b: jaccard(sets[keep[a]], sets[keep[b]]) >= 0.8)
+    loose = classes(len(texts), lambda a, b: jaccard(sets[a], sets[b]) >= 0.8)
+    for a in range(len(keep)):
+        for b in range(a + 1, len(keep)):
+            assert got[keep[a]] == got[keep[b]] or want[a] != want[b]
+    assert all(loose[a] == loose[b] for a in range(len(texts)) for b in range(a + 1, len(texts)) if got[a] == got[b])
+
+
 def test_imatch(spark, tmp_path):
     rng = random.Random(5)
     words = [f"term{i}" for i in range(3000)]
