@@ -54,7 +54,7 @@ CROWD = 512
 #: Fingerprints that each one meets before variants are searched by class.
 LEADS = 4
 #: Standard deviations of the bit count under and over its mean within which the exact similarity decides.
-UNDER, OVER = 1.0, 4.0
+UNDER, OVER = 4.0, 4.0
 #: Texts of fewer shingles are never linked by their bits alone.
 SURE_SIZE = 64
 #: Texts fetched for exact comparison up to which their identifiers are broadcast.

@@ -231,6 +231,19 @@ def test_short_similar_texts_are_exact(spark):
     assert all(loose[a] == loose[b] for a in range(len(texts)) for b in range(a + 1, len(texts)) if got[a] == got[b])
 
 
+def test_texts_under_the_similarity_are_not_linked(spark):
+    """Templated texts of 0.73 to 0.799: none may be put together."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(500):
+        base = [f"u{g}w{i}" for i in range(454)]
+        texts += [" ".join(base), " ".join(edited(rng, base, 12, f"e{g}"))]
+    got, sets = similar_classes(spark, texts)
+    under = [i for i in range(0, len(texts), 2) if jaccard(sets[i], sets[i + 1]) < 0.8]
+    assert sum(jaccard(sets[i], sets[i + 1]) > 0.73 for i in under) > 300
+    assert all(got[i] != got[i + 1] for i in under)
+
+
 def test_imatch(spark, tmp_path):
     rng = random.Random(5)
     words = [f"term{i}" for i in range(3000)]
