@@ -31,13 +31,16 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies, the document with the smallest identifier.
+    """Of each class of near copies, one row: the one with the smallest identifier, any of these if it is repeated.
 
     Near copies share five-word shingles to a similarity of 0.8 or more.
     """
-    found = simhash_similar.near_dedup_similar(docs, width=5, similarity=0.8)
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone["_gone"], "left_anti")
+    # the row's own number tells rows of one identifier apart; a null identifier is the largest
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    found = simhash_similar.near_dedup_similar(numbered.select(key.alias("key"), "text"), id_col="key", width=5, similarity=0.8)
+    gone = found.where(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

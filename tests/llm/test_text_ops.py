@@ -291,6 +291,17 @@ def test_pipeline(spark):
     assert exact_dedup is not None
 
 
+def test_near_copies_of_repeated_and_null_identifiers(spark):
+    import corpus_pipeline as pipeline
+
+    one, two, three = (" ".join(f"{p}{i}" for i in range(200)) for p in "abc")
+    # 5 is a copy of 1 in one row and the only text of its class in another; 7 is repeated within a class; null copies 9
+    rows = [(1, one), (5, one + " end"), (5, two), (7, three), (7, three + " end"), (9, "x y z"), (None, "x y  z")]
+    kept = pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    got = sorted((r.doc_id or 0, r.text[0]) for r in kept.collect())
+    assert got == [(1, "a"), (5, "b"), (7, "c"), (9, "x")]
+
+
 def test_pipeline_stages_with_odd_rows(spark, tmp_path):
     import corpus_pipeline as pipeline
 
