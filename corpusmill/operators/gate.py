@@ -12,8 +12,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import charclass as C
+from ..sources.folders import shared_folder
 
 MARKUP = f"[{C.DECIMAL}()A-Za-z]"
+#: Violations that the exception names one by one.
+NAMED = 10_000
 CONTEXT_ROWS, CONTEXT_CHARS, LEAK_CHARS, LEAKS_SHOWN = 3, 120, 100, 5
 
 
@@ -86,10 +89,21 @@ def failures(units: DataFrame, expected: DataFrame, n_groups: int, n_units: int,
 
 
 def enforce(found: DataFrame) -> None:
-    """Raises ``GateFailed`` if there is any violation; at most 10,000 are named."""
-    rows = found.orderBy("check", "key", "detail").limit(10_000).collect()
-    if rows:
-        raise GateFailed([f"{r['check']} {r['key']}: {r['detail']}".strip() for r in rows])
+    """Raises ``GateFailed`` if there is any violation.
+
+    Beyond ``NAMED`` of them, all are written as Parquet to the shared folder,
+    and the last line of the exception has their number and the path.
+    """
+    rows = found.orderBy("check", "key", "detail").limit(NAMED + 1).collect()
+    if not rows:
+        return
+    named = [f"{r['check']} {r['key']}: {r['detail']}".strip() for r in rows[:NAMED]]
+    if len(rows) > NAMED:
+        spark = found.sparkSession
+        path = shared_folder(spark, "gate-violations")
+        found.write.parquet(path)
+        named.append(f"{spark.read.parquet(path).count()} violations in all, written to {path}")
+    raise GateFailed(named)
 
 
 def duplicate_rows(df: DataFrame, keys: list[str]) -> DataFrame:

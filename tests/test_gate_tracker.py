@@ -94,3 +94,13 @@ def test_tracker_checks(spark):
     assert len(e.value.failures) == 9
     empty = spark.createDataFrame([], schema)
     assert tuple(tracker.progress(empty).first()) == (0, 0, None)
+
+
+def test_gate_reports_more_violations_than_it_names(spark):
+    n = gate.NAMED + 5
+    many = spark.range(n).selectExpr("'unit' AS check", "CAST(id AS string) AS key", "'x' AS detail")
+    with pytest.raises(gate.GateFailed) as failed:
+        gate.enforce(many)
+    *named, last = failed.value.failures
+    assert len(named) == gate.NAMED and last.startswith(f"{n} violations in all, written to ")
+    assert spark.read.parquet(last.split(" written to ")[1]).distinct().count() == n
