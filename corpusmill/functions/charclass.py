@@ -14,7 +14,7 @@ ELONGATION = r"\x{0640}"
 ZERO_WIDTH = r"\x{200B}-\x{200F}\x{FEFF}\x{00AD}\x{202A}-\x{202E}"
 #: Rule N6, letter by letter.
 LETTERS_FROM = "أإآٱٲٳىةؤئ"
-LETTERS_TO = "ااااااي" + "هوي"
+LETTERS_TO = "اااااايهوي"
 #: Decimal digits, and what Python calls a digit beyond them.
 DECIMAL = r"\p{Nd}"
 DIGIT = (

@@ -3,71 +3,79 @@
 Sampled splitters, taken by a hash so that reruns take the same ones, cut a
 table into ranges; a window numbers the rows of each range and the counts of
 the ranges before it are added. Only the splitters and one count a range come
-to the driver.
+to the driver: ``SAMPLES`` keys for every ``ROWS`` rows.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Keys sampled for each bucket, and the most buckets: they are nested decisions in one expression.
-SAMPLES, MOST = 48, 512
+from ..sources.folders import written
 
+#: Keys sampled for each bucket, and rows of a bucket where the shuffle partitions aren't more.
+SAMPLES, ROWS = 48, 2_000_000
 
-def splitters(df: DataFrame, order: list[tuple[str, bool]], n: int) -> list[tuple]:
-    """At most ``n - 1`` keys; ``order`` is (column, descending), without nulls."""
-    columns = [c for c, _ in order]
-    rows = df.count()
+
+def sort_keys(df: DataFrame, order: list[tuple[str, bool]]) -> list[Column]:
+    """Columns that ascend in the order given; only whole numbers may descend."""
+    keys = []
+    for name, down in order:
+        whole = isinstance(df.schema[name].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType))
+        if down and not whole:
+            raise ValueError(f"{name} can't descend")
+        key = F.col(name).cast("bigint") if whole else F.col(name)
+        keys.append(-key if down else key)
+    return keys
+
+
+def splitters(df: DataFrame, keys: list[Column], rows: int, n: int) -> list[tuple]:
+    """At most ``n - 1`` keys, ascending; ``df`` has no nulls in them."""
     if rows == 0 or n <= 1:
         return []
     share = min(1.0, SAMPLES * n / rows)
-    keys = df.select(*columns)
     if share < 1:
-        keys = keys.where(F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < max(1, round(share * 1_000_000)))
-    found = [tuple(r) for r in keys.collect()]
-    for i in range(len(order) - 1, -1, -1):
-        found.sort(key=lambda r: r[i], reverse=order[i][1])
+        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 60)) < F.lit(max(1, round(share * (1 << 60)))))
+    found = sorted(tuple(r) for r in df.select(*keys).collect())
     return list(dict.fromkeys(found[len(found) * k // n] for k in range(1, n))) if found else []
 
 
-def bucket(bounds: list[tuple], df: DataFrame, order: list[tuple[str, bool]]) -> Column:
-    """How many of the splitters are not after the row, by halving."""
-    columns = [F.col(c) for c, _ in order]
-    kinds = [df.schema[c].dataType for c, _ in order]
-
-    def reached(bound: tuple) -> Column:
-        tests = []
-        for i, (value, (_, down)) in enumerate(zip(bound, order)):
-            edge = F.lit(value).cast(kinds[i])
-            beyond = columns[i] < edge if down else columns[i] > edge
-            beyond = (beyond | (columns[i] == edge)) if i == len(bound) - 1 else beyond
-            tests.append(reduce(lambda a, b: a & b, [*[columns[j] == F.lit(bound[j]).cast(kinds[j]) for j in range(i)], beyond]))
-        return reduce(lambda a, b: a | b, tests)
+def bucket(bounds: list[tuple], keys: list[Column], kinds: list[str]) -> Column:
+    """How many of the splitters are not after the row: a binary search in one literal array, however many they are."""
+    if not bounds:
+        return F.lit(0)
+    names = [f"c{i}" for i in range(len(keys))]
+    body = json.dumps([dict(zip(names, b)) for b in bounds])
+    table = F.from_json(F.lit(body), "array<struct<" + ",".join(f"{n}:{k}" for n, k in zip(names, kinds)) + ">>")
+    key = F.struct(*[k.cast(t).alias(n) for k, t, n in zip(keys, kinds, names)])
 
-    def halve(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(reached(bounds[mid]), halve(mid + 1, high)).otherwise(halve(low, mid))
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))
+        left = F.struct(s["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(s["lo"] < s["hi"], F.when(key >= F.get(table, mid), right).otherwise(left)).otherwise(s)
 
-    return halve(0, len(bounds))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
 
 
 def with_row_number(df: DataFrame, order: list[tuple[str, bool]], out: str, buckets: int | None = None) -> DataFrame:
-    """``df`` with BIGINT ``out`` = 1..N in the order given, which must be total and without nulls."""
+    """``df`` with BIGINT ``out`` = 1..N in the order given, which must be total and without nulls; (column, descending)."""
     # read four times: to count, to sample, to count buckets and to number
-    df = df.persist()
-    n = buckets or min(MOST, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    bounds = splitters(df, order, n)
-    dealt = df.withColumn("_bucket", bucket(bounds, df, order))
+    df = written(df)
+    rows = df.count()
+    n = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // ROWS))
+    keys = sort_keys(df, order)
+    bounds = splitters(df, keys, rows, n)
+    dealt = df.withColumn("_bucket", bucket(bounds, keys, ["string" if isinstance(df.schema[c].dataType, T.StringType) else "bigint" for c, _ in order]))
     counts = {r["_bucket"]: r["n"] for r in dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
     before, run = [], 0
     for b in range(len(bounds) + 1):
         before.append(run)
         run += counts.get(b, 0)
-    inside = Window.partitionBy("_bucket").orderBy(*[F.col(c).desc() if down else F.col(c) for c, down in order])
-    offset = F.get(F.array(*[F.lit(x).cast("bigint") for x in before]), F.col("_bucket"))
+    inside = Window.partitionBy("_bucket").orderBy(*keys)
+    offset = F.get(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col("_bucket"))
     return dealt.withColumn(out, F.row_number().over(inside).cast("bigint") + offset).drop("_bucket")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranges import with_row_number
 from ..functions.text import tokens
+from ..sources.folders import written
 from .frequency import place, place_reference
 
 SHOWN_REFS = 12
@@ -52,9 +53,10 @@ def ledger(units: DataFrame, counts: DataFrame, with_refs: bool = False) -> Data
     rows = seen.join(words, "word")
     rows = with_row_number(rows, [("count", True), ("word", False)], "rank")
     rows = with_row_number(rows, [("ord", False), ("pos", False)], "global_no")
-    inside = Window.partitionBy("group_no")
-    rows = rows.withColumn("no_in_group", F.row_number().over(inside.orderBy("ord", "pos")).cast("bigint")).withColumn("group_total", F.count(F.lit(1)).over(inside))
-    rows = rows.join(names, "group_no")
+    # global numbers run through the groups in order, so a group's own number needs its first one, not a window over the group
+    rows = written(rows)
+    groups = rows.groupBy("group_no").agg((F.min("global_no") - 1).alias("before"), F.count(F.lit(1)).alias("group_total")).join(names, "group_no")
+    rows = rows.join(groups, "group_no").withColumn("no_in_group", F.col("global_no") - F.col("before"))
     if with_refs:
         rows = rows.join(all_references(units), "word")
     return rows.select("word", "group_no", "group_name", "no_in_group", "group_total", "global_no", F.lit("No").alias("done"), "count", place_reference(F.col("ord")).alias("first_ref"), "distinct_groups", "rank", *(["refs"] if with_refs else []))
