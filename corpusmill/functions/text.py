@@ -23,6 +23,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{C.SPACE}]+"), lambda x: x != "")
 
 
+def leading_tokens(text: Column, most: Column) -> Column:
+    """The first ``most`` tokens; what follows them is not cut."""
+    begun = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{C.SPACE}]+", "")
+    return F.slice(F.filter(F.split(begun, f"[{C.SPACE}]+", (most + 1).cast("int")), lambda x: x != ""), F.lit(1), most.cast("int"))
+
+
 def has_digit(text: Column) -> Column:
     return text.rlike(f"[{C.DIGIT}]")
 

@@ -1,10 +1,12 @@
 """Token frequencies and what is read off them.
 
 ``token_counts`` tokenises every text once and aggregates at the grain (token,
-group). All forms start from it: a form is applied to the distinct tokens, not
-to every occurrence, and the first occurrence is carried as one BIGINT
-(group * 2^32 + unit), so that every aggregate stays a hash aggregate with a
-map-side combine and a frequent token costs no more than a rare one.
+group). All forms start from it: a form is applied to the distinct (token,
+group) pairs, not to every occurrence, within an explode, below which the
+optimizer moves no filter on it; then one exchange by word serves both
+aggregates, by (word, group) and by word. The first occurrence is carried as
+one BIGINT (group * 2^32 + unit), so that every aggregate stays a hash
+aggregate and a frequent token costs no more than a rare one.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.forms import FORMS
+from ..functions.rounding import half_even
+from ..functions.shipping import ship
 from ..functions.text import reference, tokens
 
 #: Units of one group; a first occurrence is group * UNITS + unit.
@@ -40,7 +44,8 @@ def in_form(counts: DataFrame, form: str) -> DataFrame:
     """``(word, group_no, n, first)``; tokens that the form empties are gone."""
     if form == "raw":
         return counts.withColumnRenamed("token", "word")
-    rows = counts.select(FORMS[form](F.col("token")).alias("word"), "group_no", "n", "first").where("word <> ''")
+    word = F.explode(F.filter(F.array(FORMS[form](F.col("token"))), lambda w: w != ""))
+    rows = counts.select(word.alias("word"), "group_no", "n", "first").repartition("word")
     return rows.groupBy("word", "group_no").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
@@ -87,7 +92,7 @@ def histogram_rollup(words: DataFrame) -> DataFrame:
 def in_all_forms(counts: DataFrame) -> DataFrame:
     """``(form, word, group_no, n)`` for every form, from one pass over the counts."""
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("form"), form(F.col("token")).alias("word")) for name, form in FORMS.items()])).alias("f")
-    rows = counts.select(each, "group_no", "n").select("f.form", "f.word", "group_no", "n").where("word <> ''")
+    rows = counts.select(each, "group_no", "n").select("f.form", "f.word", "group_no", "n").where("word <> ''").repartition("form", "word")
     return rows.groupBy("form", "word", "group_no").agg(F.sum("n").alias("n"))
 
 
@@ -99,12 +104,13 @@ def form_totals(counts: DataFrame) -> DataFrame:
 
 def form_effect(units: DataFrame) -> DataFrame:
     """form, chars of all texts joined by newlines, chars_removed_vs_raw, identical_to_raw."""
-    columns = []
-    for name, form in FORMS.items():
-        # joining and then stripping and collapsing differs from doing so text by text only for blank texts
-        columns.append(F.struct(F.lit(name).alias("form"), F.length(form(F.col("text"))).cast("bigint").alias("chars"), (form(F.col("text")) == F.col("text")).alias("same")))
-    rows = units.select("text", F.length("text").cast("bigint").alias("raw_chars"), F.explode(F.array(*columns)).alias("f"))
-    total = rows.groupBy("f.form").agg(F.sum("f.chars").alias("chars"), F.sum("raw_chars").alias("raw"), F.count(F.lit(1)).alias("n"), F.bool_and("f.same").alias("identical_to_raw"))
+    # each form is stated once and read twice above the explode; joining and then stripping and
+    # collapsing differs from doing so text by text only for blank texts
+    each = F.array(*[F.struct(F.lit(name).alias("form"), form(F.col("text")).alias("shown")) for name, form in FORMS.items()])
+    rows = units.select("text", F.inline(each))
+    total = rows.groupBy("form").agg(
+        F.sum(F.length("shown").cast("bigint")).alias("chars"), F.sum(F.length("text").cast("bigint")).alias("raw"), F.count(F.lit(1)).alias("n"), F.bool_and(F.col("shown") == F.col("text")).alias("identical_to_raw")
+    )
     return total.select("form", (F.col("chars") + F.col("n") - 1).alias("chars"), (F.col("raw") - F.col("chars")).alias("chars_removed_vs_raw"), "identical_to_raw")
 
 
@@ -121,6 +127,12 @@ def group_statistics(units: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.select(*columns)
 
 
+def rounded_densities(statistics: DataFrame, places: int = 6) -> DataFrame:
+    """The statistics with their densities as an export shows them."""
+    ship(statistics.sparkSession)
+    return statistics.withColumns({f"density_{f}": half_even(F.col(f"density_{f}"), places) for f in FORMS})
+
+
 def top_groups(statistics: DataFrame, n: int = 5) -> DataFrame:
     kept = statistics.select("surah_number", "surah_name", "ayah_count", "words_normalized", "unique_normalized", "density_normalized")
     return kept.orderBy(F.desc("words_normalized"), "surah_number").limit(n)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.forms import no_tashkeel
-from ..functions.text import reference, tokens
+from ..functions.text import leading_tokens, reference, tokens
 from ..plans import fixed_tables as T
 
 Gate = tuple[tuple[str, str, str, str, str], ...]
@@ -84,7 +84,9 @@ def opening_letters(units: DataFrame, letters: DataFrame, strict: bool = False,
     known = units.join(hint(letters.select(F.col("surah").alias("s"), F.col("ayah").alias("a")).distinct()), (F.col("group_no") == F.col("s")) & (F.col("unit_no") == F.col("a")), "left_semi")
     known = known.groupBy("group_no", "unit_no").agg(F.max("text").alias("text"))
     rows = wanted.join(known, (F.col("surah") == F.col("group_no")) & (F.col("ayah") == F.col("unit_no")), "left")
-    rows = rows.select("surah", "ayah", "letters", F.col("text").isNull().alias("absent"), tokens(no_tashkeel(F.col("text"))).alias("t"))
+    # each token has a character at least, so no more of them than letters, and one, are walked; three are shown
+    most = F.greatest(F.length("letters") + 1, F.lit(3))
+    rows = rows.select("surah", "ayah", "letters", F.col("text").isNull().alias("absent"), leading_tokens(no_tashkeel(F.col("text")), most).alias("t"))
 
     def step(s: F.Column, t: F.Column) -> F.Column:
         acc = F.concat(s["acc"], t)

@@ -1,8 +1,12 @@
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusmill.functions import forms, text
+from corpusmill.functions import forms, ranges, text
+from corpusmill.functions.rounding import half_even
+from corpusmill.functions.shipping import ship
+from corpusmill.functions.text import leading_tokens
 
 
 def column(spark, values, f):
@@ -67,3 +71,29 @@ def test_row_numbers_over_ranges(spark):
     want = {r: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))}
     assert got == want
     assert with_row_number(df.limit(0), [("n", True), ("w", False)], "k").count() == 0
+
+
+def test_half_even_on_the_binary_value(spark):
+    values = [0.0000005, 0.0000015, 0.1234565, 0.1234575, 2 / 3, 1 / 7, 0.0, 1.0, None, 0.5, 1.5, -2.5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    ship(spark)
+    for places in (0, 6):
+        got = {r.i: r.x for r in df.select("i", half_even(F.col("v"), places).alias("x")).collect()}
+        assert [got[i] for i in range(len(values))] == [None if v is None else round(v, places) for v in values]
+
+
+def test_leading_tokens(spark):
+    rows = [("  a b\tc d ", 2), ("a", 5), ("", 3), (None, 2), ("\u00a0x y", 1), ("a b", 2)]
+    df = spark.createDataFrame(rows, "t string, n int")
+    got = [r.x for r in df.select(leading_tokens(F.col("t"), F.col("n")).alias("x")).collect()]
+    assert got == [(t or "").split()[:n] for t, n in rows]
+
+
+def test_numbers_over_many_ranges(spark):
+    df = spark.range(5000).selectExpr("id * 7919 % 5003 AS a", "concat('k\"', id % 10) AS s", "id")
+    rows = ranges.with_row_number(df, [("a", True), ("s", False)], "no", buckets=700).collect()
+    order = sorted(rows, key=lambda r: (-r.a, r.s))
+    assert [r.no for r in order] == list(range(1, 5001))
+    with pytest.raises(ValueError):
+        ranges.with_row_number(df, [("s", True)], "no")
+    assert ranges.with_row_number(df.limit(0), [("a", False)], "no").count() == 0
