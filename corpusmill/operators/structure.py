@@ -43,6 +43,11 @@ def unclassified(classified: DataFrame) -> DataFrame:
     return classified.where("kind = 'unclassified'").select("doc", "line_no", F.left("line", F.lit(SHOWN)).alias("shown"))
 
 
+def suffixed_headers(classified: DataFrame) -> DataFrame:
+    """Header lines from which a title suffix is cut."""
+    return classified.where((F.col("kind") == "header") & F.col("line").endswith(T.TITLE_SUFFIX)).select("doc", "line_no", "line")
+
+
 def header_name(header: Column) -> Column:
     cut = F.when(header.endswith(T.TITLE_SUFFIX), strip(F.expr("left(header_raw, length(header_raw) - %d)" % len(T.TITLE_SUFFIX)))).otherwise(header)
     return strip(F.substring(cut, F.lit(len(T.HEADER_WORD) + 1), F.length(header)))
@@ -71,11 +76,11 @@ def segment(bodies: DataFrame, keys: list[str]) -> DataFrame:
     """
     parts = F.split("body", MARKER)
     numbers = F.regexp_extract_all(F.col("body"), F.lit(MARKER), F.lit(1))
-    # both arrays hang on one row, so pairing them needs no join
-    rows = bodies.select(*keys, numbers.alias("numbers"), F.posexplode(parts).alias("seq", "part"))
-    number = F.get("numbers", F.col("seq"))
+    # both arrays hang on one row, so pairing them needs no join; a unit carries its own number and the last one only
+    rows = bodies.select(*keys, parts.alias("parts"), numbers.alias("numbers"))
     last = F.coalesce(to_int(F.get("numbers", F.size("numbers") - 1)), F.lit(0))
-    rows = rows.select(*keys, "seq", strip(F.col("part")).alias("text"), number.alias("number"), last.alias("last"))
+    rows = rows.select(*keys, last.alias("last"), F.posexplode(F.arrays_zip("parts", "numbers")).alias("seq", "unit"))
+    rows = rows.select(*keys, "seq", strip(F.col("unit.parts")).alias("text"), F.col("unit.numbers").alias("number"), "last")
     inferred = F.col("number").isNull()
     unit = F.when(inferred, F.col("last") + 1).otherwise(to_int(F.col("number")))
     return rows.where(~inferred | (F.col("text") != "")).select(*keys, unit.alias("unit_no"), "text", F.col("seq").cast("bigint").alias("seq"), inferred.alias("inferred"))

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,19 @@ def test_markers(spark, body, want):
     assert [(r.unit_no, r.text, r.inferred) for r in rows] == want
 
 
+def test_many_markers_take_linear_time(spark):
+    n = 100_000
+    df = spark.range(1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w ("), i.cast("string"), F.lit(")"))), " ").alias("body"))
+    start = time.time()
+    one = structure.segment(df, ["id"]).agg(F.count("*").alias("n"), F.sum("unit_no").alias("s"), F.count_if("inferred").alias("i")).first()
+    assert tuple(one) == (n, n * (n + 1) // 2, 0) and time.time() - start < 30
+
+
+def test_suffixed_headers(spark):
+    found = structure.classify(lines(spark, ["سورة أ القرآن الكريم :", "x (1)", "سورة ب"]))
+    assert [r.line_no for r in structure.suffixed_headers(found).collect()] == [0]
+
+
 def test_trailing_audit_and_census(spark):
     df = spark.createDataFrame([(1, "a (1) b"), (2, "c (1)"), (3, "d")], "g int, body string")
     expected = spark.createDataFrame([(1, 2), (2, 1), (3, 9)], "g int, n_expected long")
