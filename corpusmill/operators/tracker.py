@@ -6,8 +6,6 @@ of the ledger. All checks run, each as a relation; none stops the others.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,37 +64,65 @@ def next_pending(tracker: DataFrame, n: int = 3) -> DataFrame:
 
 
 def checks(tracker: DataFrame, units: DataFrame, vocab: DataFrame, n_rows: int, n_tokens: int) -> DataFrame:
-    """``(check_no, label, ok, observed)``: the nine checks."""
-    numbers = tracker.agg(F.count(F.lit(1)).alias("n"), F.min("global_no").alias("lo"), F.max("global_no").alias("hi"), F.count_distinct("global_no").alias("d"), F.coalesce(F.sum("count"), F.lit(0)).alias("s"))
-    number = F.count(F.lit(1)).cast("bigint")
-
-    def check(no: str, label: str, rows: DataFrame, observed: Column, ok: Column) -> DataFrame:
-        return rows.select(F.lit(no).alias("check_no"), F.lit(label).alias("label"), ok.alias("ok"), observed.cast("bigint").alias("observed"))
-
-    def none_of(no: str, label: str, rows: DataFrame) -> DataFrame:
-        return check(no, label, rows.agg(number.alias("n")), F.col("n"), F.col("n") == 0)
-
-    parts = [
-        check("1", "number of rows", numbers, F.col("n"), F.col("n") == n_rows),
-        check("2", "no word twice", duplicates(tracker).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n")), F.col("n"), F.col("n") == 0),
-        check("3", "numbers 1..N", numbers, F.col("d"), (F.col("n") == 0) | ((F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("d") == F.col("n")))),
-        none_of("4", "every word is in the corpus", extra_words(tracker, vocab)),
-        none_of("5", "every word of the corpus is there", missing_words(tracker, vocab)),
-        check("6", "sum of counts", numbers, F.col("s"), F.col("s") == n_tokens),
-        none_of("6b", "counts word by word", mismatches(tracker, vocab)),
-        none_of("7", "references exist", bad_references(tracker, units)),
-        none_of("8", "done values are legal", bad_done(tracker)),
+    """``(check_no, label, ok, observed)``: the nine checks.
+
+    One pass over the tracker, one full join with the vocabulary for the four
+    checks that compare the two, one join with the references.
+    """
+    value = done_value(F.col("done"))
+    own = tracker.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("global_no").alias("lo"),
+        F.max("global_no").alias("hi"),
+        F.count_distinct("global_no").alias("numbers"),
+        F.coalesce(F.sum("count"), F.lit(0)).alias("total"),
+        F.count_distinct(F.when(~value.isin(*T.DONE_ALLOWED), value)).alias("illegal"),
+    )
+    both = tracker.select("word", "count", F.lit(1).alias("here")).join(vocab, F.col("word") == F.col("vocab_word"), "full_outer")
+    here, there = F.col("here").isNotNull(), F.col("vocab_word").isNotNull()
+    met = both.agg(
+        F.count_distinct(F.when(here, F.col("word"))).alias("words"),
+        F.count_distinct(F.when(here & ~there, F.col("word"))).alias("extra"),
+        F.count_if(there & ~here).alias("missing"),
+        F.count_if(here & ~F.col("count").eqNullSafe(F.col("vocab_count"))).alias("unlike"),
+    )
+    refs = bad_references(tracker, units).agg(F.count(F.lit(1)).alias("refs"))
+    one = own.withColumn("k", F.lit(1))
+    for part in (met, refs):
+        one = one.join(F.broadcast(part.withColumn("k", F.lit(1))), "k")
+    n = F.col("n")
+    rows = [
+        ("1", "number of rows", n, n == n_rows),
+        ("2", "no word twice", n - F.col("words"), n == F.col("words")),
+        ("3", "numbers 1..N", F.col("numbers"), (n == 0) | ((F.col("lo") == 1) & (F.col("hi") == n) & (F.col("numbers") == n))),
+        ("4", "every word is in the corpus", F.col("extra"), F.col("extra") == 0),
+        ("5", "every word of the corpus is there", F.col("missing"), F.col("missing") == 0),
+        ("6", "sum of counts", F.col("total"), F.col("total") == n_tokens),
+        ("6b", "counts word by word", F.col("unlike"), F.col("unlike") == 0),
+        ("7", "references exist", F.col("refs"), F.col("refs") == 0),
+        ("8", "done values are legal", F.col("illegal"), F.col("illegal") == 0),
     ]
-    return reduce(lambda a, b: a.unionAll(b), parts)
+    return one.select(F.inline(F.array(*[F.struct(F.lit(no).alias("check_no"), F.lit(label).alias("label"), ok.alias("ok"), seen.cast("bigint").alias("observed")) for no, label, seen, ok in rows])))
+
+
+def samples(tracker: DataFrame, vocab: DataFrame, n: int = 3) -> dict[str, list[str]]:
+    """By check: the first extra and missing words, and mismatches with both counts, in order."""
+    unlike = mismatches(tracker, vocab).orderBy("global_no", "word").limit(n).collect()
+    return {
+        "4": [r.word for r in extra_words(tracker, vocab).orderBy("word").limit(n).collect()],
+        "5": [r.word for r in missing_words(tracker, vocab).orderBy("word").limit(n).collect()],
+        "6b": [f"{r.word} {r['count']} != {r.vocab_count}" for r in unlike],
+    }
 
 
 def verify(tracker: DataFrame, units: DataFrame, vocab: DataFrame, n_rows: int, n_tokens: int) -> list[str]:
-    """Labels of all checks in order; raises ``GateFailed`` naming those that failed."""
-    rows = checks(tracker, units, vocab, n_rows, n_tokens).orderBy("check_no").collect()
-    bad = [f"{r.check_no} {r.label}: {r.observed}" for r in rows if not r.ok]
+    """Labels of all checks in order; raises ``GateFailed`` naming those that failed, with samples."""
+    rows = sorted(checks(tracker, units, vocab, n_rows, n_tokens).collect(), key=lambda r: r.check_no)
+    bad = [r for r in rows if not r.ok]
     if bad:
-        raise GateFailed(bad)
+        shown = samples(tracker, vocab) if any(r.check_no in ("4", "5", "6b") for r in bad) else {}
+        raise GateFailed([f"{r.check_no} {r.label}: {r.observed}" + (f" ({'; '.join(shown[r.check_no])})" if shown.get(r.check_no) else "") for r in bad])
     return [r.label for r in rows]
 
 
-__all__ = ["bad_done", "bad_references", "checks", "done_value", "duplicates", "extra_words", "mismatches", "missing_words", "next_pending", "progress", "sequence_gaps", "verify", "vocabulary"]
+__all__ = ["bad_done", "bad_references", "checks", "done_value", "duplicates", "extra_words", "mismatches", "missing_words", "next_pending", "progress", "samples", "sequence_gaps", "verify", "vocabulary"]

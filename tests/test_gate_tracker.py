@@ -92,6 +92,7 @@ def test_tracker_checks(spark):
     with pytest.raises(gate.GateFailed) as e:
         tracker.verify(faulty, units, vocab, 3, 6)
     assert len(e.value.failures) == 9
+    assert [x.split(": ")[1] for x in e.value.failures if x[:2] in ("4 ", "5 ", "6b")] == ["1 (د)", "1 (ج)", "2 (د 1 != None; ب 5 != 2)"]
     empty = spark.createDataFrame([], schema)
     assert tuple(tracker.progress(empty).first()) == (0, 0, None)
 
