@@ -17,7 +17,7 @@ from .operators import frequency, gate, inventory, ledger, lexicon, structure, t
 from .plans import fixed_tables as T
 from .plans import views
 from .sources import csvs, docx
-from .sources.folders import shared_folder
+from .sources.folders import shared_folder, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,6 +169,14 @@ def group_stats(spark, sf_dir):
     return frequency.group_statistics(units, frequency.token_counts(units))
 
 
+@query(
+    "group_stats_rounded",
+    f"WITH {SQL_STATS} SELECT * REPLACE ({', '.join(f'round_even(density_{f}, 6) AS density_{f}' for f in FORMS)}) FROM stats",
+)
+def group_stats_rounded(spark, sf_dir):
+    return frequency.rounded_densities(group_stats(spark, sf_dir))
+
+
 @query(
     "top5_groups",
     f"WITH {SQL_STATS} SELECT surah_number, surah_name, ayah_count, words_normalized, unique_normalized, density_normalized FROM stats ORDER BY words_normalized DESC, surah_number LIMIT 5",
@@ -208,10 +216,10 @@ def watched_codepoints(spark, sf_dir):
 # ---- ledger ---------------------------------------------------------------------------------
 
 SQL_LEDGER = f"""{UNITS}, l AS (SELECT g, gn, n, {sql_tokens("t")} AS toks FROM u),
-k AS (SELECT g, gn, n, unnest(toks) AS word, unnest(range(1, len(toks) + 1)) AS pos FROM l),
-a AS (SELECT word, count(*) AS c, count(DISTINCT g) AS d FROM k GROUP BY word),
+k AS MATERIALIZED (SELECT g, gn, n, unnest(toks) AS word, unnest(range(1, len(toks) + 1)) AS pos FROM l),
+a AS MATERIALIZED (SELECT word, count(*) AS c, count(DISTINCT g) AS d FROM k GROUP BY word),
 s AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY word ORDER BY g, n, pos) = 1),
-ledger AS (SELECT s.word, g AS group_no, gn AS group_name, row_number() OVER (PARTITION BY g ORDER BY n, pos) AS no_in_group,
+ledger AS MATERIALIZED (SELECT s.word, g AS group_no, gn AS group_name, row_number() OVER (PARTITION BY g ORDER BY n, pos) AS no_in_group,
   count(*) OVER (PARTITION BY g) AS group_total, row_number() OVER (ORDER BY g, n, pos) AS global_no, 'No' AS done, c AS "count",
   g || ':' || n AS first_ref, d AS distinct_groups, row_number() OVER (ORDER BY c DESC, s.word) AS rank
   FROM s JOIN a ON a.word = s.word)"""
@@ -466,16 +474,16 @@ SQL_TRACKER = f"""{SQL_LEDGER}, t0 AS (SELECT *, length(word) AS len FROM ledger
 t1 AS (SELECT word, global_no, "count", first_ref, group_name AS surah, len FROM t0
   UNION ALL SELECT word || 'ZZ', global_no + 10000000, "count", first_ref, group_name, len FROM t0 WHERE len % 19 = 0
   UNION ALL SELECT word, global_no, "count", first_ref, group_name, len FROM t0 WHERE len % 23 = 0),
-tracker AS (SELECT word, CASE WHEN len % 11 = 0 THEN global_no + 5000000 ELSE global_no END AS global_no,
+tracker AS MATERIALIZED (SELECT word, CASE WHEN len % 11 = 0 THEN global_no + 5000000 ELSE global_no END AS global_no,
   CASE global_no % 5 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'نعم' WHEN 2 THEN 'maybe' WHEN 3 THEN NULL ELSE 'No' END AS done,
   CASE WHEN len % 13 = 0 THEN "count" + 1 ELSE "count" END AS "count", CASE WHEN len % 7 = 0 THEN '999:' || first_ref ELSE first_ref END AS first_ref, surah FROM t1),
-vocab AS (SELECT word AS vw, c AS vc FROM a), refs AS (SELECT DISTINCT g || ':' || n AS ref FROM u)"""
+vocab AS MATERIALIZED (SELECT word AS vw, c AS vc FROM a), refs AS MATERIALIZED (SELECT DISTINCT g || ':' || n AS ref FROM u)"""
 
 
 def _tracker(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tracker, vocabulary, units); the first two are read many times and kept."""
+    """(tracker, vocabulary, units); the first two are read many times and written."""
     units = views.units(spark, sf_dir)
-    counts = frequency.token_counts(units)
+    counts = written(frequency.token_counts(units))
     base = ledger.ledger(units, counts).withColumn("len", F.length("word")).where("len % 17 <> 0")
     columns = ["word", "global_no", "count", "first_ref", F.col("group_name").alias("surah"), "len"]
     added = base.where("len % 19 = 0").withColumn("word", F.concat("word", F.lit("ZZ"))).withColumn("global_no", F.col("global_no") + 10_000_000)
@@ -489,7 +497,7 @@ def _tracker(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.when(F.col("len") % 7 == 0, F.concat(F.lit("999:"), "first_ref")).otherwise(F.col("first_ref")).alias("first_ref"),
         "surah",
     )
-    return out.persist(), tracker.vocabulary(counts).persist(), units
+    return written(out), written(tracker.vocabulary(counts)), units
 
 
 _DONE = f"lower({sql_strip(chr(99) + 'oalesce(done, ' + chr(39) * 2 + ')')})"
@@ -564,10 +572,10 @@ def tracker_next3(spark, sf_dir):
     return tracker.next_pending(_tracker(spark, sf_dir)[0])
 
 
-# ---- sources and sinks (no SQL) -------------------------------------------------------------
+# ---- sources and sinks ----------------------------------------------------------------------
 
 
-@query("partitioned_export")
+@query("partitioned_export", f"WITH {SQL_LEDGER} SELECT * FROM ledger")
 def partitioned_export(spark, sf_dir):
     """The ledger written as a folder for each group and read again."""
     path = shared_folder(spark, "ledger")
@@ -575,7 +583,7 @@ def partitioned_export(spark, sf_dir):
     return csvs.read_csv(spark, path, "word string, group_name string, no_in_group bigint, group_total bigint, global_no bigint, done string, `count` bigint, first_ref string, distinct_groups bigint, rank bigint, group_no bigint")
 
 
-@query("docx_roundtrip")
+@query("docx_roundtrip", "SELECT CAST(conv_id AS VARCHAR) AS doc, row_number() OVER (PARTITION BY conv_id ORDER BY turn, coalesce(text, '')) - 1 AS line_no, coalesce(text, '') AS line FROM conversations")
 def docx_roundtrip(spark, sf_dir):
     """Each conversation's turns put into an office file and read again as paragraphs."""
     path = shared_folder(spark, "docx")

@@ -56,9 +56,13 @@ def structured(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFram
     """(units, structural elements, trailing audit, all text lines); stops at unclassified lines."""
     lines = structure.paragraphs_to_lines(docx.read_docx(spark, config.source)).cache()
     found = structure.classify(lines).cache()
-    stray = structure.unclassified(found).orderBy("doc", "line_no").limit(1000).collect()
-    if stray:
-        raise Unclassified("\n".join(f"{r.line_no}: {r.shown}" for r in stray))
+    stray = structure.unclassified(found)
+    shown = stray.orderBy("doc", "line_no").limit(gate.NAMED).collect()
+    if shown:
+        more = stray.count() - len(shown)
+        raise Unclassified("\n".join([f"{r.line_no}: {r.shown}" for r in shown] + ([f"and {more} more"] if more else [])))
+    for r in structure.suffixed_headers(found).orderBy("doc", "line_no").toLocalIterator():
+        config.say(f"title suffix cut from the header of line {r.line_no}: {r.line}")
     blocks = structure.blocks(found).cache()
     expected = spark.createDataFrame([(i + 1, n) for i, n in enumerate(config.expected)], "block_no bigint, n_expected bigint")
     segments = structure.segment(blocks.select("block_no", "name", "body"), ["block_no", "name"]).cache()
@@ -68,14 +72,6 @@ def structured(spark: SparkSession, config: Config) -> tuple[DataFrame, DataFram
     return units, elements, trailing, lines
 
 
-def with_density(statistics: DataFrame) -> DataFrame:
-    """Densities rounded to six places, half to even on the binary value, as the export shows them."""
-    rows = statistics.orderBy("surah_number").toPandas()
-    for f in FORMS:
-        rows[f"density_{f}"] = [round(x, 6) for x in rows[f"density_{f}"]]
-    return statistics.sparkSession.createDataFrame(rows)
-
-
 def run(spark: SparkSession, config: Config) -> list[str]:
     """Writes all exports into ``config.target``; returns their names. Raises before writing if the gate fails."""
     units, elements, trailing, lines = structured(spark, config)
@@ -89,7 +85,7 @@ def run(spark: SparkSession, config: Config) -> list[str]:
     names: list[str] = []
 
     def export(df: DataFrame, name: str) -> None:
-        n = csvs.export_csv(df, str(out / name))
+        n = csvs.export(df, str(out / name))
         names.append(name)
         config.say(f"{name}: {n} rows")
 
@@ -123,7 +119,7 @@ def run(spark: SparkSession, config: Config) -> list[str]:
         if f == "normalized":
             export(hist, "frequency_distribution.csv")
         words.unpersist()
-    export(with_density(frequency.group_statistics(units, counts)), "per_surah_statistics.csv")
+    export(frequency.rounded_densities(frequency.group_statistics(units, counts)).orderBy("surah_number"), "per_surah_statistics.csv")
 
     full = ledger.ledger(units, counts, with_refs=True).cache()
     check_ledger(full, counts)
@@ -134,6 +130,9 @@ def run(spark: SparkSession, config: Config) -> list[str]:
     files = csvs.export_group_files(named, str(folder), LEDGER_COLUMNS["group_no"], LEDGER_COLUMNS["group_name"], LEDGER_COLUMNS["no_in_group"], kept)
     check_split(spark, str(folder), files, full)
     csvs.zip_folder(str(folder), str(out / "surah_files.zip"))
+    for line in csvs.export_summary(full, ["group_no", "group_name"], csvs.file_sizes(spark, str(folder))):
+        config.say(line)
+    config.say(f"surah_files.zip: {(out / 'surah_files.zip').stat().st_size:,} bytes")
     names += ["surah_files", "surah_files.zip"]
     fresh = ledger.new_words(units).orderBy("group_no").toPandas()
     fresh["percent"] = [round(x, 1) for x in fresh["percent"]]

@@ -6,6 +6,7 @@ aggregates and top lists of fixed size and renders them.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -53,7 +54,7 @@ def orthography_section(r: Relations) -> list[str]:
     rows = [[f"`{f}`", _shown(effect[f].chars), _shown(effect[f].chars_removed_vs_raw), "no-op" if effect[f].identical_to_raw and f != "raw" else ""] for f in FORMS if f in effect]
     return [
         "## 2. Orthography and code points", "",
-        *table(["Watched code point", "Occurrences"], [[x.codepoint, _shown(x["count"])] for x in seen], {1}),
+        *table(["Watched code point", "Name", "Occurrences"], [[x.codepoint, unicodedata.name(chr(int(x.codepoint[2:], 16)), inventory.UNNAMED), _shown(x["count"])] for x in seen], {2}),
         *table(["Form", "Characters", "Removed vs raw", "Note"], rows, {1, 2}),
     ]
 
@@ -94,8 +95,8 @@ def frequency_section(r: Relations) -> list[str]:
 
 
 def caveats_section(r: Relations) -> list[str]:
-    found = [f"- Unit {x.inferred_ayah_number} of group {x.group_no}: its closing marker is missing; boundary as expected: {'yes' if x.boundary_matches else 'no'}." for x in r.trailing.orderBy("group_no").limit(200).collect()]
-    found += [f"- Group {x.group_no}: its opening formula is absent from the source and was not reconstructed." for x in r.census.where("anomalous").orderBy("group_no").limit(200).collect()]
+    found = [f"- Unit {x.inferred_ayah_number} of group {x.group_no}: its closing marker is missing; boundary as expected: {'yes' if x.boundary_matches else 'no'}." for x in r.trailing.orderBy("group_no", "inferred_ayah_number").toLocalIterator()]
+    found += [f"- Group {x.group_no}: its opening formula is absent from the source and was not reconstructed." for x in r.census.where("anomalous").orderBy("group_no").toLocalIterator()]
     conventions = [
         "- The letter map of `normalized` is a convention: it merges types and changes no token total.",
         "- Header lines and markers are no tokens; tokens are white-space runs and nothing is stemmed or split.",

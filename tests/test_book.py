@@ -103,3 +103,36 @@ def test_ledger_gate(spark):
     for bad in ([*good[:2], ("b", 2, 3, 1, 1)], [*good[:2], ("c", 2, 4, 1, 1)], [*good[:2], ("c", 2, 3, 2, 1)], [*good[:2], ("c", 2, 3, 1, 9)]):
         with pytest.raises(GateFailed):
             book.check_ledger(spark.createDataFrame(bad, schema), counts)
+
+
+def test_group_files_are_checked_as_they_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", 1), (1, "a", 2), (2, "b", 1), (2, "b", 3), (3, "c", 1)], "g long, name string, no long")
+    with pytest.raises(GateFailed) as e:
+        csvs.export_group_files(rows, str(tmp_path / "files"), "g", "name", "no", ["no"])
+    assert e.value.failures == ["002 - b.csv: its numbers are not 1 to 2"]
+    assert sorted(os.listdir(tmp_path / "files")) == ["001 - a.csv", "002 - b.csv"]
+
+
+def test_sizes_and_summary(spark, tmp_path):
+    rows = spark.createDataFrame([(g, f"n{g}", i) for g in range(1, 14) for i in range(1, g + 1)], "g long, name string, no long")
+    csvs.export_group_files(rows, str(tmp_path / "files"), "g", "name", "no", ["no"])
+    sizes = csvs.file_sizes(spark, str(tmp_path / "files"))
+    want = {p.name: p.stat().st_size for p in (tmp_path / "files").iterdir()}
+    assert {r.name: r.bytes for r in sizes.collect()} == want
+    lines = csvs.export_summary(rows, ["g", "name"], sizes)
+    assert lines[:4] == ["files: 13", "rows: 91", f"bytes: {sum(want.values()):,}", f"largest file: {max(want.values()):,} bytes"]
+    assert lines[4] == "1  n1  1" and lines[-1] == "13  n13  13" and len(lines) == 4 + 6 + 5
+
+
+def test_a_hot_group_is_dealt_to_files(spark, tmp_path):
+    rows = spark.range(4000).selectExpr("if(id < 3900, 'hot', 'cold') AS g", "id AS no")
+    csvs.write_partitioned(rows, str(tmp_path / "out"), "g", "no", file_rows=500)
+    assert len([p for p in os.listdir(tmp_path / "out/g=hot") if p.endswith(".csv")]) > 1
+    back = csvs.read_csv(spark, str(tmp_path / "out"), "no long, g string")
+    assert sorted(map(tuple, back.select("g", "no").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_large_tables_go_to_a_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csvs, "DRIVER_ROWS", 3)
+    assert csvs.export(spark.range(3).toDF("n"), str(tmp_path / "small.csv")) == 3 and (tmp_path / "small.csv").is_file()
+    assert csvs.export(spark.range(9).toDF("n"), str(tmp_path / "large.csv")) == 9 and (tmp_path / "large.csv").is_dir()

@@ -16,7 +16,18 @@ def test_query_equals_sql(spark, sf, name):
 
 def test_names_and_kinds():
     assert set(SQL) <= set(catalog.queries())
-    assert {"codepoint_inventory", "partitioned_export", "docx_roundtrip"} == set(catalog.queries()) - set(SQL)
+    assert {"codepoint_inventory"} == set(catalog.queries()) - set(SQL)
+
+
+def test_forms_act_above_the_first_aggregate(spark, sf):
+    """No filter takes a form below the aggregate to every occurrence, and one exchange by word serves both aggregates after it."""
+    plan = catalog.queries()["word_frequency_normalized"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    form = [i for i, x in enumerate(lines) if "translate(" in x and "regexp_replace" in x]
+    first = max(i for i, x in enumerate(lines) if "Aggregate" in x)
+    assert form and max(form) < first
+    physical = catalog.queries()["word_frequency_normalized"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert physical.count("RepartitionByExpression") + physical.count("REPARTITION_BY_COL") == 1
 
 
 def test_entry_runs(spark):
