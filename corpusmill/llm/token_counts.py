@@ -6,6 +6,10 @@ suffix sums over the histogram answer totals, quantiles and truncated totals
 for every context limit. The sums run in two levels, within blocks of lengths
 and over the blocks, so no task holds the histogram.
 
+The library counts; texts with a run of ``LONG_RUN`` white-space characters,
+on which its pattern engine runs out of stack, are counted by the fold of
+:class:`corpusmill.llm.bpe.Codec`, which gives the same ids.
+
 Defined results: null and empty texts have length 0; an empty table has an
 empty histogram; repeated rows count as often as they occur; identifiers and
 other columns play no part.
@@ -13,6 +17,7 @@ other columns play no part.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,10 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import load_ranks
+from .bpe import codec, load_ranks
 
 #: Lengths of one block of the two-level sums.
 BLOCK = 256
+#: White space that the library's engine takes at once; its stack holds some ten times as much.
+LONG_RUN = 50_000
+_LONG_RUN = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 @lru_cache(maxsize=2)
@@ -34,14 +42,21 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("counted", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
 
 
+def length_of(text: str | None, path: str, pattern: str) -> int:
+    if not text:
+        return 0
+    if len(text) >= LONG_RUN and _LONG_RUN.search(text):
+        return codec(path, pattern).encode(text).count(",") + 1
+    return len(_encoding(path, pattern).encode_ordinary(text))
+
+
 def encoded_length(text: Column, path: str, pattern: str) -> Column:
     """Number of ids of each whole text under a rank file."""
 
     @F.pandas_udf("long")
     def length(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoding = _encoding(path, pattern)
         for texts in parts:
-            yield pd.Series([len(encoding.encode_ordinary(t)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([length_of(t, path, pattern) for t in texts], dtype="int64")
 
     return length(text)
 
