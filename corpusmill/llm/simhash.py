@@ -8,7 +8,8 @@ the pairs verified by their Hamming distance.
 
 Copies never multiply: only distinct fingerprints are indexed, whatever the
 number of their documents. A variant shared by more than ``BUCKET`` distinct
-fingerprints is not joined with itself. Its fingerprints go by an exact way of
+fingerprints is not joined with itself, and one that many share, as a sample of
+fingerprints shows, isn't even gathered. Their fingerprints go by an exact way of
 bounded groups instead: each is put to the 65 points of its radius-one ball,
 and those that meet in a point are linked to the least of them. Two
 fingerprints differ in at most two bits exactly if their balls meet, and no
@@ -39,6 +40,8 @@ from . import common
 
 #: Distinct fingerprints up to which a variant's pairs are compared directly.
 BUCKET = 12
+#: Fingerprints sampled to find variants that many share; of them, so many make one hot.
+SAMPLED, SHARED = 2_000, 8
 #: Shingles whose bits are counted at once.
 BLOCK = 8_160
 
@@ -95,14 +98,21 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = 2) -> DataFrame:
     seg = F.when(F.col("v") < 32, F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned("fp", 32))
     bit = F.expr("shiftleft(1L, cast(v % 32 as int))")
     variant = F.shiftleft(F.col("v").cast("long"), 32).bitwiseOR(seg.bitwiseAND(F.bitwise_not(bit)))
-    index = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select("fp", variant.alias("k"))
-    met = index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where(F.col("n") > 1)
+
+    def variants(prints: DataFrame) -> DataFrame:
+        return prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v")).select("fp", variant.alias("k"))
+
+    some = distinct.where(common.hashed_under(F.xxhash64("fp"), SAMPLED / max(1, distinct.count())))
+    # 64 * SAMPLED / SHARED keys at most
+    hot = common.cut(variants(some).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED).select("k"))
+    index = variants(distinct)
+    met = index.join(F.broadcast(hot), "k", "left_anti").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where(F.col("n") > 1)
     met = common.cut(met)
     few = met.where(F.col("n") <= BUCKET).select("k", "fp")
     x, y = few.select("k", F.col("fp").alias("a")), few.select("k", F.col("fp").alias("b"))
     pairs = x.join(y, "k").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)).select("a", "b")
 
-    crowded = met.where(F.col("n") > BUCKET).select("fp").distinct()
+    crowded = met.where(F.col("n") > BUCKET).select("fp").unionAll(index.join(F.broadcast(hot), "k", "left_semi").select("fp")).distinct()
     if max_distance == 1:
         # whole-fingerprint deletions: at most two meet in one
         point = F.explode(F.expr("transform(sequence(0, 63), j -> struct(j as j, fp & ~shiftleft(1L, j) as c))")).alias("point")
@@ -123,9 +133,10 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     prints = common.cut(df.select(df[id_col].alias("doc_id"), fingerprint_udf(width)(df[text_col].cast("string")).alias("fp")))
     reps = common.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     roots = common.connected_components(fingerprint_links(reps.select("fp"), max_distance))
-    named = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = common.cut(named.select("fp", "n", "root").join(least, "root").select("fp", "n", "component_id"))
+    named = common.cut(reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root")))
+    least = common.cut(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    classes = common.join_hot(named.select("fp", "n", "root"), least, "root", "members", "component_id")
+    classes = common.cut(classes.select("fp", "n", "component_id"))
     return common.join_hot(prints, classes, "fp", "n", "component_id")
 
 
