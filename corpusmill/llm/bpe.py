@@ -26,8 +26,8 @@ and turns them into binary.
 
 Defined results: null and empty texts have no ids, their digests are those of
 the empty string; ids not in the vocabulary fail the decoding; rows repeated
-are encoded alike; null identifiers, empty tables and other columns do not
-matter. Lone surrogates can't occur in Spark strings.
+are encoded alike; null identifiers and empty tables do not matter; other
+columns pass through, but ``ids`` and ``decoded`` are replaced. Lone surrogates can't occur in Spark strings.
 """
 
 from __future__ import annotations
@@ -364,7 +364,7 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def encode_documents(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """``df`` with ``ids`` (decimal ids joined by commas) and ``decoded`` (binary, from the ids).
+    """``df`` with ``ids`` (decimal ids joined by commas) and ``decoded`` (binary, from the ids); columns so named are replaced.
 
     ``path`` is the rank file's place, the same on all machines.
     """
@@ -378,7 +378,8 @@ def encode_documents(df: DataFrame, path: str, pattern: str, text_col: str = "te
 
     # one worker a task does both: two would double the memory
     common.ready_for_python(df.sparkSession)
-    return df.withColumn("_bpe", both(df[text_col].cast("string"))).withColumns({"ids": F.col("_bpe.ids"), "decoded": F.col("_bpe.decoded")}).drop("_bpe")
+    name = common.free_name(df, "bpe")
+    return df.withColumn(name, both(df[text_col].cast("string"))).withColumns({k: F.col(f"{name}.{k}") for k in ("ids", "decoded")}).drop(name)
 
 
 def encode_documents_native(df: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,18 +6,22 @@ bounded sample of sort keys to the driver, as any range partitioner does.
 
 from __future__ import annotations
 
+import gc
 import json
-import tempfile
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.shipping import ship
+from ..sources.folders import written
 
 #: Keys that a range split samples for each of its buckets, and buckets for each partition: several
 #: small buckets fill a partition more evenly than one.
 SAMPLES_PER_BUCKET, BUCKETS_PER_PARTITION = 16, 4
+#: Bytes of text that a partition of a content sort holds.
+PART_BYTES = 256 << 20
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -26,18 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="corpusmill-"))
-    return where or spark.sparkContext.getCheckpointDir()
+#: Cuts between two releases of what they no longer need.
+CUTS = 6
+_cuts = count()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut: reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = written(df)
+    if next(_cuts) % CUTS == CUTS - 1:
+        release(df.sparkSession)
+    return out
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffles and checkpoints that nothing refers to any more.
+
+    So disk is bounded by a few steps, and so is the driver's memory, which holds plans and broadcasts as long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def ready_for_python(spark: SparkSession, rows: int = 1000) -> None:
@@ -53,26 +65,46 @@ def ready_for_python(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark writes to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def hashed_under(hashed: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among the least so share of all: the same rows in reruns, fine enough for any size of input."""
+    return F.pmod(hashed, F.lit(1 << 60)) < F.lit(min(1 << 60, max(1, round(share * (1 << 60)))))
+
+
 def least_hashes(rows: DataFrame, by: str, ident: Column, counts: dict, each: int) -> DataFrame:
     """About three times the ``each`` rows of each value of ``by`` with the least hashes of ``ident``.
 
     ``counts`` has the rows of each value. The threshold is applied where the
     rows lie, so what is shuffled to rank them is bounded at any size of input.
     """
-    unit = F.pmod(F.xxhash64(ident), F.lit(1 << 30)).cast("double") / float(1 << 30)
+    unit = F.pmod(F.xxhash64(ident), F.lit(1 << 52)).cast("double") / float(1 << 52)
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, 3.0 * each / max(1, n)))).otherwise(share)
     return rows.where(unit < share).withColumn("_unit", unit)
 
 
-def buckets_for(spark: SparkSession) -> int:
-    return BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+def parts_for(spark: SparkSession, n_bytes: int) -> int:
+    """Partitions for so many bytes: those that the session asks for, more where they would be too large."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-n_bytes // PART_BYTES))
 
 
-def deal(df: DataFrame, bucket: str) -> DataFrame:
+def deal(df: DataFrame, bucket: str, parts: int) -> DataFrame:
     """``df`` with each bucket whole in one partition."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), bucket)
+    return df.repartition(parts, bucket)
 
 
 def splitters(keys: DataFrame, n_rows: int, n: int, salt: Column) -> list[tuple]:
@@ -86,7 +118,7 @@ def splitters(keys: DataFrame, n_rows: int, n: int, salt: Column) -> list[tuple]
         return []
     share = min(1.0, SAMPLES_PER_BUCKET * n / n_rows)
     if share < 1.0:
-        keys = keys.where(F.pmod(salt, F.lit(1_000_000)) < F.lit(max(1, round(share * 1_000_000))))
+        keys = keys.where(hashed_under(salt, share))
     rows = sorted(tuple(r) for r in keys.collect())
     picks = [rows[len(rows) * i // n] for i in range(1, n)] if rows else []
     return sorted(set(picks))
@@ -119,22 +151,25 @@ def small_or_not(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
-#: A key with more than this share of the rows is hot.
-HOT_SHARE = 1 / 2000
+#: A key with more than this share of the rows, and so many at least, is hot.
+HOT_SHARE, LEAST_HOT = 1 / 2000, 200
 
 
-def join_hot(rows: DataFrame, values: DataFrame, key: str, n_col: str, value_col: str) -> DataFrame:
+def join_hot(rows: DataFrame, values: DataFrame, key: str, n_col: str, value_col: str, keep_all: bool = False) -> DataFrame:
     """``rows`` with ``value_col`` of ``values``, which has one row for each ``key`` and how many rows have it.
 
     Rows of hot keys meet a broadcast, of 1 / ``HOT_SHARE`` rows at most
     whatever the input; the others an equi-join in which no key is large.
+    ``keep_all``: rows without a value keep a null; they too must not share a key
+    too often, as all keys without a value are dealt alike.
     """
-    many = HOT_SHARE * rows.count()
+    many = max(LEAST_HOT, HOT_SHARE * rows.count())
     hot = F.broadcast(values.where(F.col(n_col) > many).select(F.col(key).alias("_hot"), F.col(value_col).alias("_value")))
     marked = rows.join(hot, F.col(key) == F.col("_hot"), "left")
     done = marked.where(F.col("_hot").isNotNull()).select(*rows.columns, F.col("_value").alias(value_col))
     rest = marked.where(F.col("_hot").isNull()).select(*rows.columns)
-    return done.unionAll(rest.join(values.where(F.col(n_col) <= many).select(key, value_col), key).select(*rows.columns, value_col))
+    cold = values.where(F.col(n_col) <= many).select(key, value_col)
+    return done.unionAll(rest.join(cold, key, "left" if keep_all else "inner").select(*rows.columns, value_col))
 
 
 def unsigned_hex(value: Column, digits: int = 16) -> Column:
@@ -150,29 +185,41 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
 
-    def star(links: DataFrame, large: bool) -> DataFrame:
+    def star(links: DataFrame, large: bool, n_links: int, degree: int) -> DataFrame:
         if large:
             both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         else:
             both = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        # many small joins: no broadcasts, whose builds would each hold a driver thread and its memory
-        joined = both.join(least.hint("merge"), both.a == least.u)
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"), "n")
+        # small plans and no broadcasts unless there is a hub: each build would hold driver memory
+        many = max(LEAST_HOT, HOT_SHARE * n_links)
+        if degree <= many:
+            joined = both.join(least.hint("merge"), both.a == least.u)
+        else:
+            # the hub of a large component holds most links: hubs, 2 / HOT_SHARE at most, are broadcast
+            least = cut(least)
+            hot = F.broadcast(least.where(F.col("n") > many).select("u", "m"))
+            rest = least.where(F.col("n") <= many).select("u", "m").hint("merge")
+            joined = both.join(hot, both.a == hot.u).unionAll(both.join(hot, both.a == hot.u, "left_anti").join(rest, F.col("a") == F.col("u")))
         if large:
             out = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.where(F.col("a") != F.col("b")).distinct()
+        return cut(out.where(F.col("a") != F.col("b")).distinct())
 
     def mark(links: DataFrame) -> tuple:
-        return tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+        """(how many links, a hash of all, the most that one node has)."""
+        ends = F.array(F.struct(F.col("a").alias("node"), F.xxhash64("a", "b").alias("x")), F.struct(F.col("b").alias("node"), F.lit(0).cast("long").alias("x")))
+        by = links.select(F.inline(ends)).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("x").alias("x"))
+        return tuple(by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.bit_xor("x"), F.max("n")).first())
 
     links = cut(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(links)
     if seen[0] == 0:
         return spark.createDataFrame([], T.StructType([T.StructField("node", edges.schema["a"].dataType), T.StructField("root", edges.schema["a"].dataType)]))
     for _ in range(rounds):
-        links = cut(star(star(links, True), False))
+        links = star(links, True, seen[0], seen[2])
+        links = star(links, False, seen[0], seen[2])
         now = mark(links)
         if now == seen:
             break
