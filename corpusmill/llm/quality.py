@@ -3,27 +3,32 @@
 Every non-blank line of a document is a node with two states, bad and good.
 Its features are statistics of the line (symbols, capitals, digits, repeated
 words, word and line lengths, ...), cut into bins, together with the bins of
-the line before and the line after it; a start, an end and a 2x2 transition
-weight tie the chain. Training lines carry their document's label. The
-document's quality is the mean of the forward-backward marginals for good,
+the line before and the line after it; a 2x2 transition weight ties the chain.
+Only documents are labelled: at first each line carries its document's label,
+then, in ``ROUNDS`` rounds of expectation and maximisation, the labels of lines
+are hidden, the document's label is evidence of the odds ``EVIDENCE`` for each,
+and weights and transitions are fitted to the expected labels. The document's quality is the mean of the forward-backward marginals for good,
 weighted by line length, on the log-odds scale calibrated on the training
 documents (a, b) so that it reads as a probability.
 
-The field is fitted on the driver from a bounded sample: at most
-``MAX_TRAIN`` labelled documents with the least hashes of their identifiers,
-half of each label, at most ``MAX_LINES`` lines each. Scoring reads every
-whole text; lines are counted batch by batch with vectorised byte classes and
-all chains of a batch advance together. No shuffle.
+The field is fitted on the driver from a bounded sample of rows: labelled
+documents with the least hashes of their identifiers, half of each label, at
+most ``MAX_TRAIN`` documents and ``MAX_CHARS`` characters in all; documents of
+more than ``MAX_LINES`` lines aren't taken. Their whole texts are read. Scoring
+reads every whole text; lines are counted batch by batch with vectorised byte
+classes and all chains of a batch advance together. No shuffle.
 
 Defined results: null, empty and blank texts have no line and get the
 calibrated prior of such texts (that of no evidence); with no labelled rows
 every score is 0.5; rows repeated with one identifier score alike; label rows
-repeated for one document count once by their least label; null labels are
-ignored; other columns pass through or are ignored.
+repeated for one document count once by their least label; labels other than
+0 and 1 are ignored; other columns pass through, and one named like the result
+is replaced.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import islice
 from operator import eq
@@ -35,7 +40,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MAX_TRAIN, MAX_LINES = 1600, 60
+MAX_TRAIN, MAX_CHARS, MAX_LINES = 1600, 48_000_000, 2_000
+#: Rounds in which line labels are hidden, and what a document's label says of each of its lines.
+ROUNDS, EVIDENCE = 2, 9.0
 THRESHOLD = 0.3
 #: Upper bounds of the bins of each line statistic; the bins are one-hot features.
 BINS = {
@@ -194,9 +201,9 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def train(texts: list[str], labels: np.ndarray, steps: int = 120, l2: float = 2e-3, rate: float = 0.5) -> Field:
-    """Maximum conditional likelihood by Adagrad; documents of either label weigh alike."""
+    """Maximum conditional likelihood by Adagrad, then rounds with hidden line labels."""
     field = Field()
-    kept = [(lines_of(t)[:MAX_LINES], y) for t, y in zip(texts, labels)]
+    kept = [(lines_of(t), y) for t, y in zip(texts, labels)]
     kept = [(d, y) for d, y in kept if d]
     if not kept or len({y for _, y in kept}) < 2:
         return field
@@ -211,27 +218,33 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 120, l2: float = 2e
     inside[begin] = False
     followed = np.ones(n, bool)
     followed[end] = False
-    # the observed pairs: labels do not change within a document
-    stays = np.array([((sizes - 1) * (y_doc == 0)).sum(), ((sizes - 1) * (y_doc == 1)).sum()], float)
-    grads = [np.zeros((3, WIDTH)) + 1e-6, 1e-6, np.zeros((2, 2)) + 1e-6]
-    for _ in range(steps):
-        p, pairs = field.marginals(field.potentials(cells, begin, end), begin, sizes)
-        d = (y - p) / n
-        gw = np.stack(
-            [
-                sum(np.bincount(cells[:-1][inside[1:], k], d[1:][inside[1:]], WIDTH) for k in range(cells.shape[1])),
-                sum(np.bincount(cells[:, k], d, WIDTH) for k in range(cells.shape[1])),
-                sum(np.bincount(cells[1:][followed[:-1], k], d[:-1][followed[:-1]], WIDTH) for k in range(cells.shape[1])),
-            ]
-        ) - l2 * field.w
-        gt = (np.diag(stays) - pairs) / n - l2 * field.t
-        gb = d.sum()
-        grads[0] += gw**2
-        grads[1] += gb**2
-        grads[2] += gt**2
-        field.w += rate * gw / np.sqrt(grads[0])
-        field.bias += rate * gb / np.sqrt(grads[1])
-        field.t += rate * gt / np.sqrt(grads[2])
+
+    def climb(target: np.ndarray, target_pairs: np.ndarray, steps: int) -> None:
+        grads = [np.zeros((3, WIDTH)) + 1e-6, 1e-6, np.zeros((2, 2)) + 1e-6]
+        for _ in range(steps):
+            p, pairs = field.marginals(field.potentials(cells, begin, end), begin, sizes)
+            d = (target - p) / n
+            gw = np.stack(
+                [
+                    sum(np.bincount(cells[:-1][inside[1:], k], d[1:][inside[1:]], WIDTH) for k in range(cells.shape[1])),
+                    sum(np.bincount(cells[:, k], d, WIDTH) for k in range(cells.shape[1])),
+                    sum(np.bincount(cells[1:][followed[:-1], k], d[:-1][followed[:-1]], WIDTH) for k in range(cells.shape[1])),
+                ]
+            ) - l2 * field.w
+            gt = (target_pairs - pairs) / n - l2 * field.t
+            gb = d.sum()
+            grads[0] += gw**2
+            grads[1] += gb**2
+            grads[2] += gt**2
+            field.w += rate * gw / np.sqrt(grads[0])
+            field.bias += rate * gb / np.sqrt(grads[1])
+            field.t += rate * gt / np.sqrt(grads[2])
+
+    # at first the observed pairs: labels do not change within a document
+    climb(y, np.diag([((sizes - 1) * (y_doc == k)).sum() for k in (0, 1)]).astype(float), steps)
+    shift = math.log(EVIDENCE) * (2 * y - 1)
+    for _ in range(ROUNDS):
+        climb(*field.marginals(field.potentials(cells, begin, end) + shift, begin, sizes), steps // 3)
     field.fitted = True
     # calibration: one logistic line from the mean marginal to the label
     mean = field.document_means(texts)
@@ -254,16 +267,17 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 120, l2: float = 2e
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Field:
     """Fit on at most ``max_train`` of the labelled documents, half of each label where there are as many."""
-    known = labels.select(labels[id_col].alias("i"), labels[label_col].cast("int").alias("y")).where("i is not null and y is not null").groupBy("i").agg(F.min("y").alias("y"))
+    label = labels[label_col].cast("int")
+    known = labels.select(labels[id_col].alias("i"), label.alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.min("y").alias("y"))
     known = common.cut(known)
-    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy("y").limit(16).collect()}
-    rank = F.row_number().over(Window.partitionBy("y").orderBy("_unit", "i"))
-    known = common.least_hashes(known, "y", F.col("i"), counts, max_train // 2)
-    known = common.cut(known.withColumn("r", rank).where(F.col("r") <= max_train // 2).select("i", "y"))
-    # at most max_train rows of identifiers, so a broadcast of bounded size
+    counts = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = common.cut(common.least_hashes(known, "y", F.col("i"), counts, max_train // 2))
+    # about 3 * max_train identifiers, so a broadcast of bounded size
     rows = docs.select(docs[id_col].alias("doc"), docs[text_col].cast("string").alias("t")).join(F.broadcast(known), F.col("doc") == F.col("i"))
-    head = F.array_join(F.slice(F.filter(F.split("t", "\n"), lambda x: F.trim(x) != ""), 1, MAX_LINES), "\n")
-    found = rows.groupBy("doc", "y").agg(F.max(head).alias("t")).collect()
+    rows = rows.where(F.regexp_count("t", F.lit("\n")) < MAX_LINES).groupBy("doc", "y", "_unit").agg(F.max("t").alias("t"))
+    order = Window.partitionBy("y").orderBy("_unit", "doc")
+    taken = rows.withColumn("r", F.row_number().over(order)).withColumn("chars", F.sum(F.length("t")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = taken.where((F.col("r") <= max_train // 2) & (F.col("chars") <= MAX_CHARS // 2)).select("doc", "y", "t").collect()
     found.sort(key=lambda r: r.doc)
     return train([r.t for r in found], np.array([r.y for r in found], int))
 
