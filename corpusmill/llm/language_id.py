@@ -8,15 +8,16 @@ machines separate each pair, and the language with most pairwise wins (ties:
 larger summed margin) is predicted.
 
 The machines are fitted on the driver from a bounded sample: at most
-``max_train`` labelled documents over all languages, those with the least
-hashes of their identifiers, so reruns and larger corpora behave alike. Their
+``max_train`` labelled documents over all languages, or ``LEAST_EACH`` of each
+language if these are more, those with the least hashes of their identifiers,
+so reruns and larger corpora behave alike and every language is learnt. Their
 features (8 KB each), not their texts, come to the driver. Prediction reads
 every whole text once, Arrow batch by Arrow batch, without a shuffle.
 
 Defined results: ``und`` with score 0 for null, empty and letterless texts;
 ``und`` for all if nothing is labelled, and the one label with score 1 if only
 one is; rows repeated with one identifier are predicted alike; other columns
-pass through or are ignored.
+pass through, and one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM = 2048
-MAX_TRAIN = 2400
+MAX_TRAIN, LEAST_EACH = 2400, 8
 #: Families by language code; a code not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "sv", "no", "nb", "nn", "da", "is"),
@@ -154,11 +155,11 @@ def feature_udf() -> Column:
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most ``max_train`` rows of ``labelled``, as many of each language as there are."""
+    """Fit on about ``max_train`` rows of ``labelled``, as many of each language where there are as many."""
     rows = labelled.select(labelled[id_col].cast("string").alias("i"), labelled[text_col].cast("string").alias("t"), labelled[lang_col].cast("string").alias("lang")).where("t is not null and lang is not null")
     common.ready_for_python(labelled.sparkSession)
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_train // 8).collect()}
-    each = max(1, max_train // max(1, len(counts)))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = max(LEAST_EACH, max_train // max(1, len(counts)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("_unit", "i", "t"))
     picked = common.least_hashes(rows, "lang", F.col("i"), counts, each).withColumn("r", rank).where(F.col("r") <= each)
     found = picked.select("lang", "r", feature_udf()("t").alias("x")).collect() if counts else []
