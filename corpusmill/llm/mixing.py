@@ -21,11 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import with_row_number
 from . import common
 
 #: Bits of the hash, and of one histogram level.
 HASH_BITS, LEVEL_BITS = 60, 12
-#: Sources up to which the threshold table (under 100 bytes a row) is broadcast.
+#: Sources up to which the threshold table (under 100 bytes a row) is broadcast, and ranked in one task.
 BROADCAST_SOURCES = 50_000
 
 
@@ -40,24 +41,33 @@ def unit_hash(ident: Column) -> Column:
     return F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
-def source_targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, max_repeats: float) -> DataFrame:
-    """``(source, source_size, target)`` from ``(source, source_size)``; one small row per source.
+def source_targets(sizes: DataFrame, n: int, weights: tuple[float, ...], budget: float, max_repeats: float) -> DataFrame:
+    """``(source, source_size, target)`` from ``(source, source_size)``, one small row for each of ``n`` sources; cut.
 
-    The level ``lam`` solves sum(min(cap, lam * weight)) = budget: with sources
-    in the order of cap / weight, it is what the uncapped rest shares.
+    The level ``lam`` solves sum(min(cap, lam * weight)) = budget: it starts at
+    an even share of all weights, and what the sources above their caps leave
+    is reshared among the others until none is above. Each step is one
+    aggregate over the sources, and only its sums come to the driver.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)
-    ranked = sizes.select("source", "source_size", w.alias("w"), (F.col("source_size") * F.lit(float(max_repeats))).alias("cap"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (F.lit(float(budget)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    levels = ranked.select("*", level.alias("lam_here")).withColumn(
-        "lam", F.min_by(F.when(F.col("lam_here") <= F.col("cap") / F.col("w"), F.col("lam_here")), F.when(F.col("lam_here") <= F.col("cap") / F.col("w"), F.col("cap") / F.col("w"))).over(everything)
-    )
-    return levels.select("source", "source_size", F.coalesce(F.least("cap", F.col("lam") * F.col("w")), F.col("cap")).alias("target"))
+    if n <= BROADCAST_SOURCES:
+        ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    else:
+        ranked = with_row_number(sizes.where("source is not null"), [("source", False)], "rank")
+        ranked = ranked.unionByName(sizes.where("source is null").withColumn("rank", F.lit(n).cast("long")))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int"))
+    ranked = common.cut(ranked.select("source", "source_size", w.alias("w"), (F.col("source_size") * F.lit(float(max_repeats))).alias("cap")))
+    whole = ranked.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    goal = float(budget) * float(whole["size"] or 0)
+    lam = goal / whole.w if whole.w else 0.0
+    while True:
+        above = F.col("cap") <= F.lit(lam) * F.col("w")
+        r = ranked.agg(F.coalesce(F.sum(F.when(above, F.col("cap"))), F.lit(0.0)).alias("full"), F.coalesce(F.sum(F.when(~above, F.col("w"))), F.lit(0.0)).alias("open")).first()
+        more = (goal - r.full) / r.open if r.open else float("inf")
+        if more <= lam or r.open == 0:
+            break
+        lam = more
+    target = F.when(above, F.col("cap")).otherwise(F.lit(lam) * F.col("w"))
+    return ranked.select("source", "source_size", target.alias("target"))
 
 
 def thresholds(light: DataFrame, weights: tuple[float, ...], budget: float, max_repeats: float) -> tuple[DataFrame, int]:
@@ -65,9 +75,9 @@ def thresholds(light: DataFrame, weights: tuple[float, ...], budget: float, max_
 
     ``light`` has (source, size, u) and should be cut: it is read once a level.
     """
-    spark = light.sparkSession
-    targets = common.cut(source_targets(light.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, max_repeats))
-    n_sources = targets.count()
+    sizes = common.cut(light.groupBy("source").agg(F.sum("size").alias("source_size")))
+    n_sources = sizes.count()
+    targets = source_targets(sizes, n_sources, weights, budget, max_repeats)
     q = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     goal = targets.select("source", "source_size", "target", q.alias("repeats")).withColumn("rest", F.col("target") - F.col("repeats") * F.col("source_size"))
 
