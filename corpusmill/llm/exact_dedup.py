@@ -60,14 +60,16 @@ def exact_dedup(
     base = base.withColumn("p", F.hex(lead)).withColumn("h", F.xxhash64("t"))
     # null identifiers take the least key
     order_id = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
-    n = buckets or common.buckets_for(spark)
+    rows, size = base.select(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    parts = common.parts_for(spark, size)
+    n = buckets or common.BUCKETS_PER_PARTITION * parts
     keys = base.select("p", "h", order_id.alias("i"))
-    bounds = common.splitters(keys, df.select(F.count(F.lit(1))).first()[0], n, F.xxhash64("h", "i"))
+    bounds = common.splitters(keys, rows, n, F.xxhash64("h", "i"))
     dealt = base.withColumn("bucket", common.bucket_of(bounds, [F.col("p"), F.col("h"), order_id], ["string", "bigint", "bigint"]))
 
     best = F.min if keep == "smallest" else F.max
     # an exchange on the bucket alone keeps a bucket whole; the sort is Spark's external one
-    dealt = common.deal(dealt, "bucket")
+    dealt = common.deal(dealt, "bucket", parts)
     same = Window.partitionBy("bucket", "p", "h", "t")
     first = same.orderBy(F.col("doc_id").asc_nulls_last() if keep == "smallest" else F.col("doc_id").desc_nulls_last())
     grouped = dealt.select(

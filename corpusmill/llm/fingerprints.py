@@ -94,9 +94,10 @@ def with_next(df: DataFrame, columns: list[str], buckets: int | None = None) ->
     one range and no row waits for another range.
     """
     spark = df.sparkSession
-    n = buckets or common.buckets_for(spark)
     key = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1).cast("long"))
-    rows, first = df.select(F.count(F.lit(1)), F.min(key)).first()
+    rows, first, size = df.select(F.count(F.lit(1)), F.min(key), F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()
+    parts = common.parts_for(spark, size)
+    n = buckets or common.BUCKETS_PER_PARTITION * parts
     bounds = common.splitters(df.select(key.alias("k")), rows, n, F.xxhash64("doc_id"))
     starts = [first, *[b[0] for b in bounds if first is not None and b[0] > first]]
     bounds = [(s,) for s in starts[1:]]
@@ -106,7 +107,7 @@ def with_next(df: DataFrame, columns: list[str], buckets: int | None = None) ->
     own = F.struct(bucket.alias("bucket"), F.lit(False).alias("extra"))
     also = F.struct(before.cast("int").alias("bucket"), F.lit(True).alias("extra"))
     dealt = df.select("*", F.explode(F.when(key.isin([s for s in starts if s is not None]), F.array(own, also)).otherwise(F.array(own))).alias("to"))
-    dealt = common.deal(dealt.select(*df.columns, "to.bucket", "to.extra"), "bucket")
+    dealt = common.deal(dealt.select(*df.columns, "to.bucket", "to.extra"), "bucket", parts)
     order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").asc_nulls_last(), "t")
     return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where(~F.col("extra")).drop("bucket", "extra")
 
