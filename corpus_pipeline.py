@@ -11,18 +11,18 @@ ties and repeated rows are as the operators define them.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import bpe, common, exact_dedup, mixing, quality, simhash_similar
+from corpusmill.sources.folders import shared_folder
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject (score of at least ``quality.THRESHOLD``)."""
     field = quality.fitted_on(spark, docs, sf_dir)
-    return quality.score(docs, field, out="_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    score = common.free_name(docs, "score")
+    return quality.score(docs, field, out=score).where(F.col(score) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +36,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Near copies share five-word shingles to a similarity of 0.8 or more.
     """
     # the row's own number tells rows of one identifier apart; a null identifier is the largest
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_row").alias("row"))
+    row = common.free_name(docs, "row")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row"))
     found = simhash_similar.near_dedup_similar(numbered.select(key.alias("key"), "text"), id_col="key", width=5, similarity=0.8)
-    gone = found.where(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias("_row"))
-    return numbered.join(gone, "_row", "left_anti").select(*docs.columns)
+    gone = found.where(F.col("doc_id.row") != F.col("component_id.row")).select(F.col("doc_id.row").alias(row))
+    return numbered.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
-    where = f"{common.shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    """All stages over ``documents``, each written to the shared folder and read again; what a stage has read is deleted then."""
+    where = shared_folder(spark, "corpus-pipeline")
     docs = common.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{i}")
         docs = spark.read.parquet(f"{where}/{i}")
+        if i:
+            common.delete(spark, f"{where}/{i - 1}")
     return docs
