@@ -3,29 +3,36 @@
 The narrow operator of :mod:`corpusmill.llm.simhash` links 64-bit fingerprints
 of at most two differing bits, which only texts of a similarity of about 0.97
 have. For texts that share four fifths of their shingles, this one takes a
-wide SimHash of the set of shingles, ``WORDS`` words of 64 bits. Two texts of
-Jaccard similarity J have sets at an angle of arccos(2J / (1 + J)), and differ
-in that share of pi of their bits.
-
-Candidates come from the same deletion-variant index: the bits of all words
-are cut into segments of ``SEGMENT`` bits, every segment is indexed with each
-of its bits deleted in turn, and texts that share a variant (a segment that
-differs in one bit at most) are compared over all bits. Far fewer differing
-bits than the similarity implies make a link; all others up to far more are
-settled by the exact Jaccard similarity of the two texts. Chance that two texts
-share a variant, by the bit model: 0.97 at a similarity of 0.8, 0.997 at 0.85,
-0.99995 at 0.9; classes close over chains of links, which finds more. The bit
-model needs many shingles: two texts of few (below 10 at a similarity of 0.8)
-are linked exactly, by the sets that are left when one shingle is taken away.
-
-Only distinct fingerprints are indexed, and texts that are known to be of one
-class are not compared again. First each fingerprint meets the ``LEADS`` that
-it shares most variants with, among the least of each variant. Then all
-candidates of two different classes are compared, whichever members of them
-share a variant: classes are passed over only where the triangle inequality
-over their roots leaves no pair of members within the bound. Variants of more
-than ``CROWD`` classes are dealt out in blocks. ``SEGMENT`` bits serve up to
-some 10^8 distinct texts; beyond, it should grow with their logarithm.
+wide SimHash of the set of shingles. Two texts of Jaccard similarity J have
+sets at an angle of arccos(2J / (1 + J)), and differ in that share of pi of
+their bits.
+
+Candidates come from the same deletion-variant index: the bits are cut into
+segments, and of every segment the whole and the variants with one bit deleted
+are indexed. A bit that two similar texts differ in is one that few shingles
+decide in either, so only the ``SOFT`` least decided bits of a segment are
+deleted. Texts that share a variant are compared over all bits. Far fewer
+differing bits than the similarity implies make a link; all others up to far
+more are settled by the exact Jaccard similarity of the two texts.
+
+The number of texts sets the index (:func:`plan_for`): a segment has 4 bits
+more than their logarithm, so the unlike texts that one meets by chance stay
+as few at any size, and as many segments are cut as give a lone pair at the
+similarity asked for a chance of ``RECALL`` to share a variant, by the bit
+model. Classes close over chains of links, which finds more. The bit model
+needs many shingles: two texts of few (below 10 at a similarity of 0.8) are
+linked exactly, by the sets that are left when one shingle is taken away.
+
+Only distinct fingerprints are indexed, in passes of ``PASS_ROWS`` rows a
+fingerprint, so that disk is bounded. Texts that are known to be of one class
+are not compared again. First, in ``ROUNDS`` rounds, each fingerprint meets
+the ``LEADS`` that it shares most variants with, among the best connected
+holder of each variant. Then all members of all classes that share a variant
+are compared, block by block: classes are passed over only where sizes, or the
+triangle inequality over their roots, leave no pair of members within the
+bound. A variant that many share (found by a sample of
+fingerprints) is salted, and its classes are dealt out in blocks, so it is
+never gathered in a task.
 
 Defined results: texts without words have no shingle and form classes of their
 own; fewer words than a shingle make one shingle of all; repeated rows come
@@ -37,6 +44,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -47,26 +56,87 @@ from pyspark.sql import functions as F
 from . import common
 from .simhash import bit_sums
 
-WORDS, SEGMENT = 12, 24
-BITS = 64 * WORDS
+#: Words of 64 bits at least, bits of a segment at least, and bits of it that are deleted in turn.
+WORDS, LEAST_WIDTH, SOFT = 12, 16, 6
+#: Chance of a lone pair at the similarity asked for to share a variant, by the bit model.
+RECALL = 0.97
+#: Rows of the index that a fingerprint has in one pass.
+PASS_ROWS = 112
+#: Fingerprints sampled to find variants that many share; of them, so many make one hot. Its salts.
+SAMPLED, SHARED, SALTS = 2_000, 8, 64
 #: Classes of one variant up to which all of them are paired within one row.
 CROWD = 512
-#: Fingerprints that each one meets before variants are searched by class.
-LEADS = 4
+#: Members of a class in one row when classes are compared.
+BLOCK = 64
+#: Rounds in which each fingerprint meets so many leads, before variants are searched by class.
+ROUNDS, LEADS = 2, 2
 #: Standard deviations of the bit count under and over its mean within which the exact similarity decides.
 UNDER, OVER = 4.0, 4.0
 #: Texts of fewer shingles are never linked by their bits alone.
 SURE_SIZE = 64
-#: Texts fetched for exact comparison up to which their identifiers are broadcast.
+#: Rows of a join's smaller side (some 200 bytes each) up to which it is broadcast.
 BROADCAST_TEXTS = 100_000
+#: Size classes of a doubling; sizes ride in so many bits of an index row.
+SIZE_STEPS, SIZE_BITS = 9, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def bits_of_similarity(similarity: float) -> tuple[int, int]:
-    """(most bits of a sure link, most bits of a possible one) for a Jaccard similarity."""
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    deviation = math.sqrt(BITS * share * (1 - share))
-    return math.floor(BITS * share - UNDER * deviation), math.ceil(BITS * share + OVER * deviation)
+@dataclass(frozen=True)
+class Plan:
+    """An index: ``segments`` of ``width`` bits, a chance of ``found`` for each to show a pair at the similarity."""
+
+    similarity: float
+    width: int
+    segments: int
+    found: float
+
+    @property
+    def words(self) -> int:
+        return max(WORDS, -(-self.width * self.segments // 64))
+
+    @property
+    def bits(self) -> tuple[int, int]:
+        """(most bits of a sure link, most bits of a possible one)."""
+        n, share = 64 * self.words, share_of_bits(self.similarity)
+        deviation = math.sqrt(n * share * (1 - share))
+        return math.floor(n * share - UNDER * deviation), math.ceil(n * share + OVER * deviation)
+
+    @property
+    def steps(self) -> int:
+        """Most size classes between two texts of the similarity."""
+        return math.floor(SIZE_STEPS * math.log2(1 / self.similarity) + 1e-9) + 1
+
+    @property
+    def passes(self) -> list[tuple[int, int]]:
+        each = max(1, PASS_ROWS // (SOFT + 1))
+        return [(i, min(i + each, self.segments)) for i in range(0, self.segments, each)]
+
+
+def share_of_bits(similarity: float) -> float:
+    """Share of the bits in which two sets of a Jaccard similarity differ."""
+    return math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+
+
+@lru_cache(maxsize=64)
+def plan_of_width(width: int, similarity: float) -> Plan:
+    """Segments needed; the chance that a differing bit is soft on both sides is drawn with a fixed seed."""
+    p, cosine = share_of_bits(similarity), 2 * similarity / (1 + similarity)
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal(400_000)
+    y = cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * rng.standard_normal(len(x))
+    differ = (x > 0) != (y > 0)
+    found = (1 - p) ** width
+    if differ.any() and not differ.all():
+        same = rng.integers(0, (~differ).sum(), (10_000, width - 1))
+        one = rng.integers(0, differ.sum(), 10_000)
+        soft = [(np.abs(z[~differ])[same] < np.abs(z[differ])[one][:, None]).sum(1) < SOFT for z in (x, y)]
+        found += width * p * (1 - p) ** (width - 1) * float((soft[0] & soft[1]).mean())
+    return Plan(similarity, width, math.ceil(math.log(1 - RECALL) / math.log(1 - min(found, 1 - 1e-9))), found)
+
+
+def plan_for(n: int, similarity: float) -> Plan:
+    """The index for ``n`` texts."""
+    return plan_of_width(min(48, max(LEAST_WIDTH, round(math.log2(max(n, 1))) + 4)), similarity)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -89,12 +159,18 @@ def shingle_hashes(text: str | None, width: int) -> set[int]:
     return {digest(joined[a:b], 42) for a, b in zip(first, (ends[width - 1 :] - 1).tolist())}
 
 
-def wide_simhash(hashes: set[int]) -> list[int]:
-    """``WORDS`` signed longs from a set of shingle hashes that is not empty."""
+def wide_simhash(hashes: set[int], plan: Plan) -> tuple[list[int], list[int]]:
+    """Words of the SimHash and of the marks of soft bits, as signed longs, of a set that is not empty."""
     base = np.fromiter(hashes, np.uint64, len(hashes))
     with np.errstate(over="ignore"):
-        wide = np.stack([_mixed(base + np.uint64(k) * _STEP) for k in range(WORDS)], axis=1)
-    return np.packbits(2 * bit_sums(wide) > len(base), bitorder="little").view("<i8").tolist()
+        wide = np.stack([_mixed(base + np.uint64(k) * _STEP) for k in range(plan.words)], axis=1)
+    lead = 2 * bit_sums(wide) - len(base)
+    margins = np.abs(lead[: plan.width * plan.segments]).reshape(plan.segments, plan.width)
+    # ties go to the lower bit, so that equal margins have equal marks
+    least = np.argsort(margins, axis=1, kind="stable")[:, :SOFT]
+    marks = np.zeros(64 * plan.words, np.uint8)
+    marks[(least + plan.width * np.arange(plan.segments)[:, None]).ravel()] = 1
+    return tuple(np.packbits(x, bitorder="little").view("<i8").tolist() for x in (lead > 0, marks))
 
 
 def short_size(similarity: float) -> int:
@@ -102,15 +178,16 @@ def short_size(similarity: float) -> int:
     return min(SURE_SIZE, math.ceil(2 / max(1 - similarity, 1e-9) - 1e-9) - 1)
 
 
-def fingerprint_udf(width: int, short: int = 0):
-    """The words, the number of shingles, and up to ``short`` shingles themselves, ascending; null without words."""
+def fingerprint_udf(plan: Plan, width: int, short: int = 0):
+    """Words, soft marks, the number of shingles and up to ``short`` shingles themselves, ascending; null without words."""
 
     def one(text: str | None) -> list[int] | None:
         hashes = shingle_hashes(text, width)
         if not hashes:
             return None
         few = np.sort(np.fromiter(hashes, np.uint64).view(np.int64)).tolist() if len(hashes) <= short else []
-        return [*wide_simhash(hashes), len(hashes), *few]
+        words, marks = wide_simhash(hashes, plan)
+        return [*words, *marks, len(hashes), *few]
 
     @F.pandas_udf("array<bigint>")
     def fingerprint(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -124,48 +201,80 @@ def differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def segments(words: Column) -> Column:
-    """All whole segments of the bits of the words, in order."""
-    low = F.lit((1 << SEGMENT) - 1).cast("long")
+def segment(words: Column, number: int, width: int) -> Column:
+    """The bits of one segment as a long."""
+    at, shift = divmod(number * width, 64)
+    part = F.shiftrightunsigned(words[at], shift)
+    if shift + width > 64:
+        part = part.bitwiseOR(F.shiftleft(words[at + 1], 64 - shift))
+    return part.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
-    def one(start: int) -> Column:
-        at, shift = divmod(start, 64)
-        part = F.shiftrightunsigned(words[at], shift)
-        if shift + SEGMENT > 64:
-            part = part.bitwiseOR(F.shiftleft(words[at + 1], 64 - shift))
-        return part.bitwiseAND(low)
 
-    return F.array(*[one(i) for i in range(0, BITS - SEGMENT + 1, SEGMENT)])
+def bit_at(value: Column, j: Column) -> Column:
+    return F.call_function("shiftright", value, j).bitwiseAND(F.lit(1).cast("long"))
 
 
-def variant_key(number: Column, segment: Column, bit: Column) -> Column:
-    cleared = segment.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
-    return F.shiftleft((number * SEGMENT + bit).cast("long"), SEGMENT).bitwiseOR(cleared)
+def index_rows(fps: DataFrame, plan: Plan, lo: int, hi: int) -> DataFrame:
+    """``(k, x)`` of segments ``lo`` to ``hi`` - 1 of ``fps(f, words, marks, size)``.
 
-
-def shared_variants(fps: DataFrame) -> DataFrame:
-    """``(k, f)`` of all one-bit deletions of all segments of ``fps(f, words)`` that two or more share.
-
-    Equal segments share every deletion: they are kept at the first one only.
-    So of a later one, what stays is where the deleted bit itself differs.
+    ``k`` is a segment's number, the deleted bit (``width``: none) and the rest;
+    ``x`` is f, the size class and the deleted bit's value, see :func:`unpacked`.
+    """
+    w = plan.width
+    parts = [F.struct(F.lit(i).alias("s"), segment(F.col("words"), i, w).alias("seg"), segment(F.col("marks"), i, w).alias("mark")) for i in range(lo, hi)]
+    size = F.least(F.lit((1 << SIZE_BITS) - 1), F.floor(F.log2("size") * SIZE_STEPS)).cast("long")
+    rows = fps.select("f", size.alias("size"), F.inline(F.array(*parts)))
+    deleted = F.filter(F.sequence(F.lit(0), F.lit(w - 1)), lambda j: bit_at(F.col("mark"), j) == 1)
+    rows = rows.select("f", "size", "s", "seg", F.explode(F.concat(F.array(F.lit(w)), deleted)).alias("j"))
+    rest = F.when(F.col("j") == w, F.col("seg")).otherwise(F.col("seg").bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("j")))))
+    bit = F.when(F.col("j") == w, F.lit(0).cast("long")).otherwise(bit_at(F.col("seg"), F.col("j")))
+    k = F.shiftleft((F.col("s") * (w + 1) + F.col("j")).cast("long"), w).bitwiseOR(rest)
+    return rows.select(k.alias("k"), (F.shiftleft("f", SIZE_BITS + 1) + F.col("size") * 2 + bit).alias("x"))
+
+
+def unpacked(rows: DataFrame, plan: Plan) -> DataFrame:
+    """Index rows with f, size (its class), bit and whole (nothing deleted) of their own."""
+    whole = F.pmod(F.shiftright("k", plan.width), F.lit(plan.width + 1)) == plan.width
+    size = F.shiftright("x", 1).bitwiseAND(F.lit((1 << SIZE_BITS) - 1)).cast("int")
+    bit = F.col("x").bitwiseAND(F.lit(1)).cast("int")
+    return rows.withColumns({"f": F.shiftright("x", SIZE_BITS + 1), "size": size, "bit": bit, "whole": whole}).drop("x")
+
+
+def holders(fps: DataFrame, plan: Plan, n: int) -> DataFrame:
+    """``(f, size, rate, held)`` of those of ``n`` fingerprints that share a variant; written.
+
+    ``held`` has (k, salt, bit, whole) of the shared variants, ``rate`` how often
+    all of them are held. Whoever has equal segments shares the whole one, so of
+    a deletion only what differs in the deleted bit is kept. ``salt`` is 0 but
+    for hot variants, which are counted salt by salt.
     """
-    rows = fps.select("f", F.posexplode(segments(F.col("words"))).alias("s", "seg"))
-    rows = rows.select("f", "s", "seg", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))).alias("j"))
-    # the deleted bit rides in the lowest bit of the number
-    bit = F.call_function("shiftright", F.col("seg"), F.col("j")).bitwiseAND(F.lit(1))
-    rows = rows.select(variant_key(F.col("s"), F.col("seg"), F.col("j")).alias("k"), (F.col("f") * 2 + bit).alias("x"))
-    every, last = Window.partitionBy("k"), F.col("x").bitwiseAND(F.lit(1))
-    rows = rows.select("k", "x", F.count(F.lit(1)).over(every).alias("n"), F.min(last).over(every).alias("lo"), F.max(last).over(every).alias("hi"))
-    first = F.shiftright("k", SEGMENT) % SEGMENT == 0
-    return rows.where((F.col("n") > 1) & (first | (F.col("lo") != F.col("hi")))).select("k", F.shiftright("x", 1).alias("f"))
-
-
-def compared(pairs: DataFrame, fps: DataFrame) -> DataFrame:
-    """``(a, b, d, least, most)``: differing bits of each distinct pair, shingles of its smaller and its larger text."""
+    some = fps.where(common.hashed_under(F.xxhash64("f"), SAMPLED / max(n, 1)))
+    done = []
+    for lo, hi in plan.passes:
+        hot = index_rows(some, plan, lo, hi).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SHARED).select(F.col("k").alias("hot"))
+        rows = index_rows(fps, plan, lo, hi)
+        # a sample of so many rows can't have more keys than that: bounded at any size of input
+        rows = rows.join(F.broadcast(hot), F.col("k") == F.col("hot"), "left")
+        rows = rows.select("k", "x", F.when(F.col("hot").isNotNull(), 1 + F.pmod(F.xxhash64("x"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"))
+        every, last = Window.partitionBy("k", "salt"), F.col("x").bitwiseAND(F.lit(1))
+        rows = rows.select("*", F.count(F.lit(1)).over(every).alias("n"), F.min(last).over(every).alias("b0"), F.max(last).over(every).alias("b1"))
+        rows = unpacked(rows, plan).where((F.col("salt") > 0) | (F.col("n") > 1) & (F.col("whole") | (F.col("b0") != F.col("b1"))))
+        done.append(common.cut(rows.select("k", "salt", "f", "size", "bit", "whole", "n")))
+        common.release(fps.sparkSession)
+    out = done[0]
+    for other in done[1:]:
+        out = out.unionAll(other)
+    # no more variants than a fingerprint has: a row of bounded size
+    held = F.collect_list(F.struct("k", "salt", "bit", "whole")).alias("held")
+    return common.cut(out.groupBy("f").agg(F.max("size").alias("size"), F.sum("n").alias("rate"), held))
+
+
+def compared(pairs: DataFrame, fps: DataFrame, *kept: str) -> DataFrame:
+    """``(a, b, d, least, most)`` and what is kept: differing bits of each pair, shingles of its smaller and its larger text."""
     left = fps.select(F.col("f").alias("a"), F.col("words").alias("wa"), F.col("size").alias("na"))
     right = fps.select(F.col("f").alias("b"), F.col("words").alias("wb"), F.col("size").alias("nb"))
     found = pairs.join(left, "a").join(right, "b")
-    return found.select("a", "b", differing(F.col("wa"), F.col("wb")).alias("d"), F.least("na", "nb").alias("least"), F.greatest("na", "nb").alias("most"))
+    return found.select("a", "b", differing(F.col("wa"), F.col("wb")).alias("d"), F.least("na", "nb").alias("least"), F.greatest("na", "nb").alias("most"), *kept)
 
 
 def short_links(sets: DataFrame, similarity: float) -> DataFrame:
@@ -184,53 +293,113 @@ def short_links(sets: DataFrame, similarity: float) -> DataFrame:
     return rows.join(ends, ["k", "c"]).where(F.col("f") != F.col("a")).select("a", F.col("f").alias("b")).distinct()
 
 
-def lead_pairs(rows: DataFrame) -> DataFrame:
-    """``(a, b)``: each b with the ``LEADS`` that it shares most variants with, among the least of each variant."""
-    lead = F.min("f").over(Window.partitionBy("k"))
-    led = rows.select(lead.alias("a"), F.col("f").alias("b")).where(F.col("a") != F.col("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
+def of_two_classes(found: DataFrame, roots: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """``(f, size, rate, root, k, salt, bit, whole)`` of :func:`holders`, without the variants of which all holders are of one class.
+
+    ``facts(r, ...)`` of the roots come along.
+    """
+    named = found.join(roots, found.f == roots.node, "left").select("f", "size", "rate", F.coalesce("root", "f").alias("root"), "held")
+    more = []
+    if facts is not None:
+        more = [c for c in facts.columns if c != "r"]
+        named = common.cut(named).join(facts, F.col("root") == F.col("r"))
+    named = named.select("f", "size", "rate", "root", *more, F.inline("held"))
+    every = Window.partitionBy("k", "salt")
+    named = named.withColumn("lo", F.min("root").over(every)).withColumn("hi", F.max("root").over(every))
+    # the salts of a hot variant don't see each other
+    return named.where((F.col("salt") > 0) | (F.col("lo") != F.col("hi"))).drop("lo", "hi")
+
+
+def lead_pairs(named: DataFrame, plan: Plan) -> DataFrame:
+    """``(a, b)``: each b with the ``LEADS`` that it shares most variants with, of other classes.
+
+    The lead of a variant is the holder that shares most over all variants: in
+    a family of edited copies, the text that most of them are copies of.
+    """
+    lead = F.max(F.struct("rate", "f", "root", "size", "bit")).over(Window.partitionBy("k", "salt"))
+    led = named.withColumn("lead", lead)
+    apart_ = (F.col("lead.root") != F.col("root")) & (F.col("whole") | (F.col("lead.bit") != F.col("bit"))) & (F.abs(F.col("lead.size") - F.col("size")) <= plan.steps)
+    led = led.where(apart_).groupBy(F.col("lead.f").alias("a"), F.col("f").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     best = led.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a"))).where(F.col("r") <= LEADS)
     return best.select("a", "b")
 
 
-def class_pairs(named: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b: roots that share a variant of ``named(k, root)``, each pair once.
+def class_pairs(named: DataFrame, plan: Plan) -> DataFrame:
+    """``(a, b, d)``, a < b: roots of which two members may be similar by a variant of ``named``, each pair once.
 
+    ``named`` (:func:`of_two_classes`) has ``words`` and ``wide``, the root's words and the
+    most bits that a member of its class differs in from it. Roots are compared
+    where they meet: pairs that the triangle inequality rules out are never made.
     The classes of a crowded variant are dealt to blocks, and each two blocks meet in a row of their own.
     """
-    spots = named.select("k", "root").distinct()
-    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("k")) / F.lit(CROWD)).cast("int")
-    spots = spots.withColumn("n", blocks).withColumn("own", F.pmod(F.xxhash64("root"), F.col("n")).cast("int"))
+    ends = [F.min("size").alias("least"), F.max("size").alias("most"), F.min("bit").alias("b0"), F.max("bit").alias("b1")]
+    spots = named.groupBy("k", "whole", "root").agg(*ends, F.min("words").alias("words"), F.min("wide").alias("wide"))
+    spots = common.cut(spots)
+    crowds = common.cut(spots.groupBy("k").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > CROWD))
+    n = crowds.count()
+    if n:
+        spots = spots.join(common.small_or_not(crowds, n, BROADCAST_TEXTS), "k", "left").withColumn("n", F.ceil(F.coalesce("held", F.lit(1)) / F.lit(CROWD)).cast("int"))
+    else:
+        spots = spots.withColumn("n", F.lit(1))
+    spots = spots.withColumn("own", F.pmod(F.xxhash64("root"), F.col("n")).cast("int"))
     spots = spots.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    met = spots.groupBy("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.array_sort(F.collect_list(F.struct("root", "own"))).alias("m"))
+    one = F.struct("root", "own", "least", "most", "b0", "b1", "words", "wide")
+    met = spots.groupBy("k", "whole", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).agg(F.array_sort(F.collect_list(one)).alias("m")).where(F.size("m") > 1)
+
+    def may_meet(x: Column, y: Column) -> Column:
+        blocks = (F.col("lo") == F.col("hi")) | (x["own"] != y["own"])
+        bits = F.col("whole") | (x["b0"] != y["b1"]) | (x["b1"] != y["b0"])
+        return blocks & bits & (x["least"] - y["most"] <= plan.steps) & (y["least"] - x["most"] <= plan.steps)
 
     def later(x: Column, i: Column) -> Column:
-        rest = F.filter(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: (F.col("lo") == F.col("hi")) | (x["own"] != y["own"]))
-        return F.transform(rest, lambda y: F.struct(x["root"].alias("a"), y["root"].alias("b")))
+        rest = F.filter(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: may_meet(x, y))
+        pairs = F.transform(rest, lambda y: F.struct(x["root"].alias("a"), y["root"].alias("b"), differing(x["words"], y["words"]).alias("d"), (x["wide"] + y["wide"]).alias("wide")))
+        return F.filter(pairs, lambda p: p["d"] <= plan.bits[1] + p["wide"])
 
-    return met.select(F.explode(F.flatten(F.transform("m", later))).alias("p")).select("p.*").distinct()
+    return met.select(F.inline(F.flatten(F.transform("m", later)))).select("a", "b", "d").distinct()
 
 
-def member_pairs(rows: DataFrame, roots: DataFrame, fps: DataFrame, most: int) -> DataFrame:
-    """``(a, b)``: pairs of different classes that share a variant of ``rows(k, f)``.
+def class_links(found: DataFrame, roots: DataFrame, fps: DataFrame, plan: Plan, sets_of) -> DataFrame:
+    """``(a, b)``: roots of two classes of which two members are similar, of all classes that share a variant.
 
-    All of them, but those that the triangle inequality shows to differ in more
-    than ``most`` bits: d(a, b) >= d(root of a, root of b) - d(a, its root) - d(b, its root).
+    All members of two such classes are compared. They lie in blocks of
+    ``BLOCK``, with their words and shingles; a block of the smaller class meets
+    those of the larger one, and all pairs of two blocks are looked at within a
+    row, so that no pair is a row of its own, and two blocks give one link at most.
     """
-    own = compared(roots.where(F.col("node") != F.col("root")).select(F.col("node").alias("a"), F.col("root").alias("b")), fps)
-    own = common.cut(own.select(F.col("a").alias("node"), F.col("b").alias("root"), F.col("d").alias("e")))
-    named = rows.join(roots, rows.f == roots.node, "left").select("k", "f", F.coalesce("root", "f").alias("root"))
-    every = Window.partitionBy("k")
-    named = named.withColumn("lo", F.min("root").over(every)).withColumn("hi", F.max("root").over(every)).where(F.col("lo") != F.col("hi"))
-    named = common.cut(named.select("k", "f", "root"))
-    wide = own.groupBy("root").agg(F.max("e").alias("e"))
-    wa, wb = wide.select(F.col("root").alias("a"), F.col("e").alias("ea")), wide.select(F.col("root").alias("b"), F.col("e").alias("eb"))
-    near = compared(class_pairs(named), fps).join(wa, "a", "left").join(wb, "b", "left")
-    near = common.cut(near.where(F.col("d") <= most + F.coalesce("ea", F.lit(0)) + F.coalesce("eb", F.lit(0))).select(F.col("a").alias("ra"), F.col("b").alias("rb"), "d"))
-    placed = named.join(own.select(F.col("node").alias("f"), "e"), "f", "left").select("k", "f", "root", F.coalesce("e", F.lit(0)).alias("e"))
-    one = placed.select("k", F.col("f").alias("a"), F.col("root").alias("ra"), F.col("e").alias("ea")).join(near, "ra")
-    two = placed.select("k", F.col("f").alias("b"), F.col("root").alias("rb"), F.col("e").alias("eb"))
-    met = one.join(two, ["k", "rb"]).where(F.col("ea") + F.col("eb") >= F.col("d") - most)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = roots.where(F.col("node") != F.col("root"))
+    own = compared(members.select(F.col("node").alias("a"), F.col("root").alias("b")), fps)
+    wide = common.cut(own.groupBy(F.col("b").alias("r")).agg(F.max("d").alias("wide"), F.count(F.lit(1)).alias("n")))
+    words = fps.select(F.col("f").alias("r"), "words").join(wide, "r", "left").fillna(0, ["wide", "n"])
+    named = of_two_classes(found, roots, words.select("r", "words", "wide"))
+    near = common.cut(class_pairs(named, plan))
+    common.release(fps.sparkSession)
+    if near.isEmpty():
+        return near.select("a", "b")
+    sizes = wide.select("r", "n")
+    near = near.join(sizes.select(F.col("r").alias("a"), F.col("n").alias("na")), "a", "left").join(sizes.select(F.col("r").alias("b"), F.col("n").alias("nb")), "b", "left").fillna(0, ["na", "nb"])
+    swap = F.col("na") < F.col("nb")
+    near = common.cut(near.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("ra"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("rb")))
+    some = common.cut(near.select(F.col("ra").alias("root")).unionAll(near.select(F.col("rb").alias("root"))).distinct())
+    inside = members.join(some, "root", "left_semi").select("root", F.col("node").alias("f")).unionByName(some.select("root", F.col("root").alias("f")))
+    inside = common.cut(inside.join(sizes, F.col("root") == F.col("r"), "left").select("root", "f", F.coalesce("n", F.lit(0)).alias("n")))
+    held = inside.join(fps.select("f", "words", "size"), "f").join(sets_of(inside.select("f")), "f")
+    block = F.pmod(F.xxhash64("f"), F.ceil((F.col("n") + 1) / F.lit(BLOCK))).alias("block")
+    blocks = common.cut(held.groupBy("root", block).agg(F.collect_list(F.struct("words", "size", "s")).alias("m")).select("root", "m"))
+    # written, so that a class of many members or neighbours is a skewed join that Spark splits
+    small = common.cut(near.join(blocks.select(F.col("root").alias("rb"), F.col("m").alias("mb")), "rb"))
+    both = small.join(blocks.select(F.col("root").alias("ra"), F.col("m").alias("ma")), "ra")
+    sure, possible = plan.bits
+
+    def similar(x: Column, y: Column) -> Column:
+        least, most = F.least(x["size"], y["size"]), F.greatest(x["size"], y["size"])
+        shared = F.size(F.array_intersect(x["s"], y["s"]))
+        alike = shared >= F.lit(plan.similarity) * (x["size"] + y["size"] - shared) - 1e-9
+        d = F.transform(F.array(differing(x["words"], y["words"])), lambda d: (d <= possible) & (((d <= sure) & (least >= SURE_SIZE)) | alike))
+        return (least >= F.lit(plan.similarity) * most - 1e-9) & F.get(d, F.lit(0))
+
+    linked = F.exists("mb", lambda y: F.exists("ma", lambda x: similar(x, y)))
+    return both.where(linked).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
 def tied(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -238,8 +407,8 @@ def tied(roots: DataFrame, links: DataFrame) -> DataFrame:
     links = common.cut(apart(roots, links))
     if links.isEmpty():
         return roots
-    # classes of classes: the links tie the roots that are there
-    upper = common.connected_components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    # classes of classes: the links tie the roots that are there; written, so that a large class is a skewed join that Spark splits
+    upper = common.cut(common.connected_components(links.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
     up = upper.select(F.col("node").alias("u"), F.col("root").alias("top"))
     lower = roots.join(up, roots.root == up.u, "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = upper.join(roots.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_anti")
@@ -253,10 +422,9 @@ def apart(roots: DataFrame, pairs: DataFrame) -> DataFrame:
     return named.where(F.col("ra") != F.col("rb"))
 
 
-def settled(doubt: DataFrame, fps: DataFrame, df: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Pairs of ``doubt`` whose texts have the Jaccard similarity asked for."""
-    asked = doubt.select(F.col("a").alias("f")).unionAll(doubt.select(F.col("b").alias("f"))).distinct()
-    asked = common.cut(asked.join(fps.select("f", "words", "rep"), "f"))
+def shingle_sets(wanted: DataFrame, fps: DataFrame, df: DataFrame, id_col: str, text_col: str, plan: Plan, width: int) -> DataFrame:
+    """``(f, s)``: the shingles of the texts of ``wanted(f)``, whose texts alone are read again; written."""
+    asked = common.cut(wanted.distinct().join(fps.select("f", "words", "rep"), "f"))
 
     @F.pandas_udf("array<bigint>")
     def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -264,14 +432,18 @@ def settled(doubt: DataFrame, fps: DataFrame, df: DataFrame, id_col: str, text_c
             yield pd.Series([np.fromiter(shingle_hashes(t, width), np.uint64).view(np.int64) for t in texts], dtype=object)
 
     text = df[text_col].cast("string")
-    wanted = common.small_or_not(asked, asked.count(), BROADCAST_TEXTS)
-    rows = df.select(df[id_col].alias("i"), text.alias("t")).join(wanted, F.col("i").eqNullSafe(F.col("rep")))
+    few = common.small_or_not(asked, asked.count(), BROADCAST_TEXTS)
+    rows = df.select(df[id_col].alias("i"), text.alias("t")).join(few, F.col("i").eqNullSafe(F.col("rep")))
     # cut before Python reads them: else the whole of df would be fingerprinted again
     rows = common.cut(rows.select("f", "words", "t"))
     # rows that repeat an identifier with another text have another fingerprint
-    rows = rows.withColumn("w", F.slice(fingerprint_udf(width)("t"), 1, WORDS)).where(F.col("w") == F.col("words"))
+    rows = rows.withColumn("w", F.slice(fingerprint_udf(plan, width)("t"), 1, plan.words)).where(F.col("w") == F.col("words"))
     rows = common.cut(rows.select("f", "t"))
-    sets = common.cut(rows.groupBy("f").agg(F.min("t").alias("t")).select("f", shingles("t").alias("s")))
+    return common.cut(rows.groupBy("f").agg(F.min("t").alias("t")).select("f", shingles("t").alias("s")))
+
+
+def settled(doubt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of ``doubt(a, b)`` whose ``sets(f, s)`` have the Jaccard similarity asked for."""
     left, right = sets.select(F.col("f").alias("a"), F.col("s").alias("sa")), sets.select(F.col("f").alias("b"), F.col("s").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     both = doubt.join(left, "a").join(right, "b")
@@ -280,35 +452,45 @@ def settled(doubt: DataFrame, fps: DataFrame, df: DataFrame, id_col: str, text_c
 
 def near_dedup_similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, component_id (the least identifier of its class): one row per input row."""
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity is over 0 and at most 1")
     common.ready_for_python(df.sparkSession)
-    found = fingerprint_udf(width, short_size(similarity))(df[text_col].cast("string"))
-    prints = common.cut(df.select(df[id_col].alias("doc_id"), found.alias("w")))
-    prints = prints.select("doc_id", F.slice("w", 1, WORDS).alias("words"), F.get("w", F.lit(WORDS)).alias("size"), F.slice("w", WORDS + 2, SURE_SIZE).alias("few"))
+    plan = plan_for(df.count(), similarity)
+    shown = fingerprint_udf(plan, width, short_size(similarity))(df[text_col].cast("string"))
+    prints = common.cut(df.select(df[id_col].alias("doc_id"), shown.alias("w")))
+    n = plan.words
+    prints = prints.select("doc_id", F.slice("w", 1, n).alias("words"), F.slice("w", n + 1, n).alias("marks"), F.get("w", F.lit(2 * n)).alias("size"), F.slice("w", 2 * n + 2, SURE_SIZE).alias("few"))
     known = prints.where("words is not null")
-    fps = known.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"))
+    fps = known.groupBy("words").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.min("size").alias("size"), F.min("marks").alias("marks"))
     # small ascending numbers, fixed by the write, take less room in the index than hashes
     fps = common.cut(fps.withColumn("f", F.monotonically_increasing_id()))
     short = short_links(known.where(F.size("few") > 0).select("words", "few").distinct().join(fps.select("words", "f"), "words"), similarity)
     known = known.select("doc_id", "words")
-    sure, possible = bits_of_similarity(similarity)
+    sure, possible = plan.bits
     roots = tied(fps.select(F.col("f").alias("node"), F.col("f").alias("root")).limit(0), short)
 
-    def with_links_of(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-        """The classes with those of ``pairs(a, b)`` that are similar; pairs of one class need no look at their texts."""
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return shingle_sets(wanted, fps, df, id_col, text_col, plan, width)
+
+    found = holders(fps, plan, fps.count())
+    for _ in range(ROUNDS):
+        pairs = lead_pairs(of_two_classes(found, roots), plan)
         near = compared(pairs, fps).where((F.col("d") <= possible) & (F.col("least") >= F.lit(similarity) * F.col("most") - 1e-9))
-        near = common.cut(near.withColumn("sure", (F.col("d") <= sure) & (F.col("least") >= SURE_SIZE)))
-        roots = tied(roots, near.where("sure").select("a", "b"))
-        doubt = common.cut(apart(roots, near.where("not sure").select("a", "b")).select("a", "b"))
-        return roots if doubt.isEmpty() else tied(roots, settled(doubt, fps, df, id_col, text_col, width, similarity))
-
-    rows = common.cut(shared_variants(fps))
-    tried = common.cut(lead_pairs(rows))
-    roots = with_links_of(tried, roots)
-    rest = member_pairs(rows, roots, fps, possible)
-    roots = with_links_of(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), roots)
-    named = fps.join(roots, fps.f == roots.node, "left").select("words", "rep", "n", F.coalesce("root", "f").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = common.cut(named.select("words", "n", "root").join(least, "root").select("words", "n", "component_id"))
+        near = common.cut(near.select("a", "b", ((F.col("d") <= sure) & (F.col("least") >= SURE_SIZE)).alias("sure")))
+        common.release(df.sparkSession)
+        links, doubt = near.where("sure").select("a", "b"), near.where("not sure").select("a", "b")
+        if not doubt.isEmpty():
+            sets = sets_of(doubt.select(F.col("a").alias("f")).unionAll(doubt.select(F.col("b").alias("f"))))
+            links = links.unionAll(settled(doubt, sets, similarity))
+        before, roots = roots, tied(roots, links)
+        if roots is before:
+            break
+    roots = tied(roots, class_links(found, roots, fps, plan, sets_of))
+    common.release(df.sparkSession)
+    named = common.cut(fps.join(roots, fps.f == roots.node, "left").select("words", "rep", "n", F.coalesce("root", "f").alias("root")))
+    least = common.cut(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("members")))
+    classes = common.join_hot(named.select("words", "n", "root"), least, "root", "members", "component_id")
+    classes = common.cut(classes.select("words", "n", "component_id"))
     found = common.join_hot(known, classes, "words", "n", "component_id")
     alone = prints.where("words is null").select("doc_id", F.col("doc_id").alias("component_id"))
     return found.select("doc_id", "component_id").unionAll(alone)

@@ -176,29 +176,67 @@ def test_similar_hubs_and_chains(spark):
 
 
 def test_all_candidates_of_two_classes_are_compared(spark):
-    """Every pair that shares a variant and is within the bound is of one class or given back, whatever the classes."""
+    """Two classes are tied exactly if they share a variant and any two of their members are similar, whatever the classes."""
     rng = random.Random(9)
-    prints = []
+    plan = simhash_similar.plan_for(160, 0.8)
+    bits, size, soft = 64 * plan.words, plan.width, simhash_similar.SOFT
+    prints, marks, sizes = [], [], []
     for _ in range(4):
-        centre = rng.getrandbits(simhash_similar.BITS)
+        centre = rng.getrandbits(bits)
         for _ in range(40):
-            prints.append(centre ^ sum(1 << b for b in rng.sample(range(simhash_similar.BITS), rng.randint(20, 90))))
-    words = [[(w - (1 << 64)) if (w := p >> 64 * i & (2**64 - 1)) >> 63 else w for i in range(simhash_similar.WORDS)] for p in prints]
-    fps = spark.createDataFrame([(i, w, 100) for i, w in enumerate(words)], "f long, words array<long>, size long")
-    size = simhash_similar.SEGMENT
+            prints.append(centre ^ sum(1 << b for b in rng.sample(range(bits), rng.randint(20, 130))))
+            marks.append(sum(1 << s * size + j for s in range(plan.segments) for j in rng.sample(range(size), soft)))
+            sizes.append(rng.choice([100, 101, 115, 140, 300]))
 
-    def share(x, y):
-        differ = x ^ y
-        return any((differ >> s & ((1 << size) - 1)).bit_count() <= 1 for s in range(0, simhash_similar.BITS - size + 1, size))
+    def longs(p):
+        return [(w - (1 << 64)) if (w := p >> 64 * i & (2**64 - 1)) >> 63 else w for i in range(plan.words)]
+
+    rows = [(i, longs(p), longs(m), s) for i, (p, m, s) in enumerate(zip(prints, marks, sizes))]
+    fps = spark.createDataFrame(rows, "f long, words array<long>, marks array<long>, size long")
+
+    def share(a, b):
+        for s in range(0, plan.segments * size, size):
+            x, both = ((prints[a] ^ prints[b]) >> s) & ((1 << size) - 1), (marks[a] & marks[b]) >> s
+            if x == 0 or x.bit_count() == 1 and x & both:
+                return True
+        return False
 
     n = len(prints)
     root = [i - i % 10 if i % 4 else i for i in range(n)]
     roots = spark.createDataFrame([(i, r) for i, r in enumerate(root)], "node long, root long")
-    rows = simhash_similar.shared_variants(fps)
-    for most in (110, 150):
-        found = {(r.a, r.b) for r in simhash_similar.member_pairs(rows, roots, fps, most).collect()}
-        want = {(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and share(prints[a], prints[b])}
-        assert {p for p in want if (prints[p[0]] ^ prints[p[1]]).bit_count() <= most} <= found <= want
+    # by bits alone: the sets are equal within a centre, and disjoint between two
+    sets = spark.createDataFrame([(i, list(range(1000 * (i // 40), 1000 * (i // 40) + sizes[i]))) for i in range(n)], "f long, s array<long>")
+
+    def similar(a, b):
+        both = min(sizes[a], sizes[b]) if a // 40 == b // 40 else 0
+        alike = both >= 0.8 * (sizes[a] + sizes[b] - both)
+        d = (prints[a] ^ prints[b]).bit_count()
+        return min(sizes[a], sizes[b]) >= 0.8 * max(sizes[a], sizes[b]) and d <= plan.bits[1] and (alike or d <= plan.bits[0])
+
+    met = {(min(root[a], root[b]), max(root[a], root[b])) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and share(a, b)}
+    linked = {(min(root[a], root[b]), max(root[a], root[b])) for a in range(n) for b in range(a + 1, n) if root[a] != root[b] and similar(a, b)}
+    # all variants of the sample are hot for some, none for others
+    for least, block in ((2, 64), (8, 3), (1000, 1)):
+        kept = simhash_similar.SHARED, simhash_similar.BLOCK
+        simhash_similar.SHARED, simhash_similar.BLOCK = least, block
+        try:
+            found = simhash_similar.class_links(simhash_similar.holders(fps, plan, n), roots, fps, plan, lambda wanted: sets)
+            found = {(min(r), max(r)) for r in map(tuple, found.collect())}
+        finally:
+            simhash_similar.SHARED, simhash_similar.BLOCK = kept
+        # size classes are coarser than sizes, so a variant may bring classes together whose holders of it differ in size
+        assert len(linked & met) > 50 and found <= linked
+        assert {p for p in linked & met if any(share(a, b) and similar(a, b) for a in range(n) for b in range(a + 1, n) if (min(root[a], root[b]), max(root[a], root[b])) == p)} <= found
+
+
+def test_index_plan_follows_the_number_of_texts():
+    plans = [simhash_similar.plan_for(n, 0.8) for n in (0, 10**3, 10**5, 10**7, 10**10)]
+    assert [p.width for p in plans] == [16, 16, 21, 27, 37]
+    for p in plans:
+        assert 1 - (1 - p.found) ** p.segments >= simhash_similar.RECALL
+        assert p.words * 64 >= p.width * p.segments and p.bits[0] < p.bits[1]
+        assert p.passes[0][0] == 0 and p.passes[-1][1] == p.segments and all(a[1] == b[0] for a, b in zip(p.passes, p.passes[1:]))
+    assert simhash_similar.plan_for(1000, 1.0).segments == 1
 
 
 def test_similar_recall_at_the_threshold(spark):
@@ -269,6 +307,70 @@ def test_imatch(spark, tmp_path):
     assert sum(r.near_edited for r in half) > 3 * sum(r.near_next for r in half[:3] + half[4:])
 
 
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_signature(text, lexicon):
+    """Term hashes and digests by hand: XXH64 of the text, and of arrays element by element."""
+    import re
+
+    terms = sorted({t for t in re.split("[^a-z0-9]+", text.lower()) if t})
+    every = [signed(xxhash.xxh64_intdigest(t.encode(), 42)) for t in terms]
+    kept = [h for h in every if h in lexicon] or every or [signed(xxhash.xxh64_intdigest(text.encode(), 42))]
+
+    def digest(hashes):
+        h = 42
+        for x in hashes:
+            h = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), h)
+        return h & 0xFFFFFFFF if hashes else 0
+
+    parts = [digest(kept)] + [digest([h for h in kept if h >> 2 * i & 3]) for i in range(fingerprints.DENSE)]
+    at = 2 * fingerprints.DENSE
+    for bits, n in fingerprints.SPARSE:
+        parts += [digest([h for h in kept if h >> at & (1 << bits) - 1 == i]) for i in range(n)]
+        at += bits
+    return parts
+
+
+def brute_likeness(a, b):
+    met = [x == y for x, y in zip(a, b) if x or y]
+    return 1.0 if a == b else sum(met) / len(met)
+
+
+def test_imatch_values_against_brute_force(spark, tmp_path):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 90))) + rng.choice([".", "", " THE END"]) for _ in range(150)]
+    texts += ["", None, "...", "zz unseen terms", texts[4], texts[4].upper()]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = fingerprints.op1_imatch_fingerprints(spark, str(tmp_path)).orderBy("doc_id").collect()
+    import re
+
+    held = [{t for t in re.split("[^a-z0-9]+", (t or "").lower()) if t} for t in texts]
+    counts = {w: sum(w in h for h in held) for w in set().union(*held)}
+    n = len(texts)
+    lexicon = {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w, c in counts.items() if fingerprints.LOW * n <= c <= fingerprints.HIGH * n}
+    assert 0 < len(lexicon) < len(counts)
+    show = lambda parts: "".join(f"{p:08x}" for p in parts)
+    for i, r in enumerate(rows):
+        text, after = texts[i] or "", texts[(i + 1) % n] or ""
+        own, nxt, edit = (brute_signature(t, lexicon) for t in (text, after, text[: len(text) - len(text) // 2] + after[: len(text) // 2]))
+        assert (r.fingerprint, r.edited_fingerprint) == (show(own), show(edit))
+        assert r.near_edited == pytest.approx(brute_likeness(own, edit)) and r.near_next == pytest.approx(brute_likeness(own, nxt))
+
+
+def test_simhash_of_odd_rows(spark):
+    """Null identifiers, repeated rows, a very long text, clashing columns; variants that all share."""
+    long_text = " ".join(f"w{i % 977}" for i in range(400_000))
+    rows = [(None, "a b c d"), (None, "a b c d"), (4, "a b c d"), (4, "a b c d"), (9, long_text), (8, long_text + " end"), (None, None), (7, "  ")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("component_id", F.lit("x")).withColumn("rep", F.lit(0))
+    got = sorted(((r.doc_id, r.fp % (1 << 64), r.component_id) for r in simhash.near_dedup(df).collect()), key=str)
+    assert got == sorted(((i, brute_simhash(t), {"a b c d": 4, None: 7, "  ": 7}.get(t, 8)) for i, t in rows), key=str)
+    only = spark.createDataFrame([(None, "x y z")], DOCS)
+    assert [(r.doc_id, r.component_id) for r in simhash.near_dedup(only).collect()] == [(None, None)]
+
+
 def test_imatch_lexicon_is_the_band(spark):
     df = spark.createDataFrame([(i, "all " + ("half " if i % 2 else "") + f"own{i}") for i in range(100)], "doc_id long, t string")
     want = spark.sql("select xxhash64('half') h").first().h
