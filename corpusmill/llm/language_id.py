@@ -35,6 +35,8 @@ from . import common
 
 DIM = 2048
 MAX_TRAIN, LEAST_EACH = 2400, 8
+#: Length of the gradient at which a machine is fitted; the objective is strongly convex, so it is within its square of the least.
+LEAST_GRADIENT = 1e-3
 #: Families by language code; a code not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "sv", "no", "nb", "nn", "da", "is"),
@@ -77,7 +79,7 @@ def features(text: str) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 8.0, steps: int = 150) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear SVM by accelerated gradient steps; y is +-1, classes weigh alike."""
+    """Squared-hinge linear SVM by accelerated gradient steps until the gradient is nought; y is +-1, classes weigh alike."""
     n = len(y)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     xb = np.hstack([x, np.ones((n, 1), np.float32)])
@@ -87,6 +89,9 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 8.0, steps: int = 150) -
     for _ in range(steps):
         slack = np.maximum(0, 1 - y * (xb @ v))
         grad = v / c - 2 * (xb.T @ (weight * y * slack))
+        if np.linalg.norm(grad) < LEAST_GRADIENT:
+            w = v
+            break
         new = v - rate * grad
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v = new + (t - 1) / t_new * (new - w)
