@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import json
+import re
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,17 +53,23 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def ready_for_python(spark: SparkSession, rows: int = 1000) -> None:
-    """Before Python runs: the code goes to the workers, with at most so many rows in an Arrow batch.
+#: Rows, and bytes, of an Arrow batch at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
-    Texts may be long, and workers have bounded memory.
 
-    The setting is read when a plan runs, so it stays with the session.
+def ready_for_python(spark: SparkSession) -> None:
+    """Before Python runs: the code goes to the workers, and Arrow batches are bounded in rows and bytes.
+
+    Texts may be long, and workers have bounded memory. Spark reads the settings
+    when a plan runs, after it is declared, so they stay with the session;
+    smaller ones of its own are kept.
     """
     ship(spark)
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > rows:
-        spark.conf.set(name, str(rows))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{name}"
+        own = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(name, "").lower())
+        if not own or int(own[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[own[2]] > most:
+            spark.conf.set(name, str(most))
 
 
 def free_name(df: DataFrame, name: str) -> str:
