@@ -67,7 +67,7 @@ def ready_for_python(spark: SparkSession) -> None:
     ship(spark)
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{name}"
-        own = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(name, "").lower())
+        own = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(name).lower())
         if not own or int(own[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[own[2]] > most:
             spark.conf.set(name, str(most))
 
