@@ -28,9 +28,9 @@ fingerprint, so that disk is bounded. Texts that are known to be of one class
 are not compared again. First, in ``ROUNDS`` rounds, each fingerprint meets
 the ``LEADS`` that it shares most variants with, among the best connected
 holder of each variant. Then all members of all classes that share a variant
-are compared, block by block: classes are passed over only where sizes, or the
-triangle inequality over their roots, leave no pair of members within the
-bound. A variant that many share (found by a sample of
+are compared, block by block in Arrow batches: classes are passed over only
+where sizes, or the triangle inequality over their roots, leave no pair of
+members within the bound. A variant that many share (found by a sample of
 fingerprints) is salted, and its classes are dealt out in blocks, so it is
 never gathered in a task.
 
@@ -66,8 +66,10 @@ PASS_ROWS = 112
 SAMPLED, SHARED, SALTS = 2_000, 8, 64
 #: Classes of one variant up to which all of them are paired within one row.
 CROWD = 512
-#: Members of a class in one row when classes are compared.
-BLOCK = 64
+#: Members, and shingles of them, that a row has when classes are compared.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 17
+#: Shingles that two blocks are compared by at a time.
+CHUNK = 1 << 13
 #: Rounds in which each fingerprint meets so many leads, before variants are searched by class.
 ROUNDS, LEADS = 2, 2
 #: Standard deviations of the bit count under and over its mean within which the exact similarity decides.
@@ -359,13 +361,71 @@ def class_pairs(named: DataFrame, plan: Plan) -> DataFrame:
     return met.select(F.inline(F.flatten(F.transform("m", later)))).select("a", "b", "d").distinct()
 
 
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each of ``xs`` has in common with each of ``ys``; all are arrays of distinct numbers."""
+    flat = [np.concatenate(sets) for sets in (xs, ys)]
+    both = np.intersect1d(*flat)
+    places = []
+    for sets, values in zip((xs, ys), flat):
+        at = np.minimum(np.searchsorted(both, values), max(0, len(both) - 1))
+        hit = both[at] == values if len(both) else np.zeros(len(values), bool)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[hit]
+        order = np.argsort(at[hit], kind="stable")
+        places.append((owner[order], at[hit][order]))
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    for lo in range(0, len(both), CHUNK):
+        tables = []
+        for sets, (owner, at) in zip((xs, ys), places):
+            i, j = np.searchsorted(at, (lo, lo + CHUNK))
+            table = np.zeros((len(sets), min(CHUNK, len(both) - lo)), np.float32)
+            table[owner[i:j], at[i:j] - lo] = 1
+            tables.append(table)
+        out += (tables[0] @ tables[1].T).astype(np.int64)
+    return out
+
+
+def similar_roots(a: tuple, b: tuple, roots: np.ndarray, plan: Plan) -> np.ndarray:
+    """Those of ``roots``, which texts ``b`` have, of which a text is similar to one of ``a``.
+
+    ``a`` and ``b`` are words, sizes, numbers of shingles and shingles of texts, one after the other.
+    """
+    (wa, na, sa), (wb, nb, sb) = ((x[0].reshape(len(x[1]), -1), x[1].astype(np.int64), np.split(x[3], np.cumsum(x[2])[:-1])) for x in (a, b))
+    sure, possible = plan.bits
+    d = np.zeros((len(na), len(nb)), np.int32)
+    for i in range(plan.words):
+        d += np.bitwise_count((wa[:, i, None] ^ wb[None, :, i]).view(np.uint64))
+    least = np.minimum(na[:, None], nb)
+    near = (least >= plan.similarity * np.maximum(na[:, None], nb) - 1e-9) & (d <= possible)
+    done = np.unique(roots[(near & (d <= sure) & (least >= SURE_SIZE)).any(0)])
+    near &= ~np.isin(roots, done)
+    rows, columns = near.any(1).nonzero()[0], near.any(0).nonzero()[0]
+    if not len(rows):
+        return done
+    shared = shared_counts([sa[i] for i in rows], [sb[j] for j in columns])
+    alike = shared >= plan.similarity * (na[rows, None] + nb[columns] - shared) - 1e-9
+    return np.union1d(done, roots[columns[(near[np.ix_(rows, columns)] & alike).any(0)]])
+
+
+def linked_udf(plan: Plan):
+    """:func:`similar_roots` of two blocks."""
+
+    @F.pandas_udf("array<bigint>")
+    def linked(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for rows in parts:
+            yield pd.Series([similar_roots(r[:4], r[4:8], r[8], plan) for r in zip(*rows)], dtype=object)
+
+    return linked
+
+
 def class_links(found: DataFrame, roots: DataFrame, fps: DataFrame, plan: Plan, sets_of) -> DataFrame:
     """``(a, b)``: roots of two classes of which two members are similar, of all classes that share a variant.
 
-    All members of two such classes are compared. They lie in blocks of
-    ``BLOCK``, with their words and shingles; a block of the smaller class meets
-    those of the larger one, and all pairs of two blocks are looked at within a
-    row, so that no pair is a row of its own, and two blocks give one link at most.
+    All members of two such classes are compared. They lie in blocks, with their
+    words and shingles. Of the classes that a larger one meets, the blocks are
+    put together to packs of a block's size, and each pack meets each block in
+    a row of its own, dealt by class and block: two large classes are spread
+    over tasks, and the many small ones that a large class meets don't each
+    take its blocks along.
     """
     members = roots.where(F.col("node") != F.col("root"))
     own = compared(members.select(F.col("node").alias("a"), F.col("root").alias("b")), fps)
@@ -382,24 +442,28 @@ def class_links(found: DataFrame, roots: DataFrame, fps: DataFrame, plan: Plan,
     near = common.cut(near.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("ra"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("rb")))
     some = common.cut(near.select(F.col("ra").alias("root")).unionAll(near.select(F.col("rb").alias("root"))).distinct())
     inside = members.join(some, "root", "left_semi").select("root", F.col("node").alias("f")).unionByName(some.select("root", F.col("root").alias("f")))
-    inside = common.cut(inside.join(sizes, F.col("root") == F.col("r"), "left").select("root", "f", F.coalesce("n", F.lit(0)).alias("n")))
-    held = inside.join(fps.select("f", "words", "size"), "f").join(sets_of(inside.select("f")), "f")
-    block = F.pmod(F.xxhash64("f"), F.ceil((F.col("n") + 1) / F.lit(BLOCK))).alias("block")
-    blocks = common.cut(held.groupBy("root", block).agg(F.collect_list(F.struct("words", "size", "s")).alias("m")).select("root", "m"))
-    # written, so that a class of many members or neighbours is a skewed join that Spark splits
-    small = common.cut(near.join(blocks.select(F.col("root").alias("rb"), F.col("m").alias("mb")), "rb"))
-    both = small.join(blocks.select(F.col("root").alias("ra"), F.col("m").alias("ma")), "ra")
-    sure, possible = plan.bits
-
-    def similar(x: Column, y: Column) -> Column:
-        least, most = F.least(x["size"], y["size"]), F.greatest(x["size"], y["size"])
-        shared = F.size(F.array_intersect(x["s"], y["s"]))
-        alike = shared >= F.lit(plan.similarity) * (x["size"] + y["size"] - shared) - 1e-9
-        d = F.transform(F.array(differing(x["words"], y["words"])), lambda d: (d <= possible) & (((d <= sure) & (least >= SURE_SIZE)) | alike))
-        return (least >= F.lit(plan.similarity) * most - 1e-9) & F.get(d, F.lit(0))
-
-    linked = F.exists("mb", lambda y: F.exists("ma", lambda x: similar(x, y)))
-    return both.where(linked).select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    inside = common.cut(inside.join(fps.select("f", "words", "size"), "f"))
+    dealt = inside.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES))).alias("blocks"))
+    dealt = common.cut(dealt)
+    held = inside.join(dealt, "root").join(sets_of(inside.select("f")), "f")
+    blocks = held.groupBy("root", F.pmod(F.xxhash64("f"), F.col("blocks")).alias("block")).agg(F.collect_list(F.struct("words", "size", "s")).alias("m"))
+    lengths = F.transform("m.s", lambda s: F.size(s))
+    blocks = common.cut(blocks.select("root", "block", F.flatten("m.words").alias("words"), F.col("m.size").alias("sizes"), lengths.alias("lengths"), F.flatten("m.s").alias("s")))
+    weight = F.greatest(F.size("sizes") / F.lit(BLOCK), F.size("s") / F.lit(BLOCK_SHINGLES))
+    parts = near.join(blocks.select(F.col("root").alias("rb"), "block", weight.alias("weight")), "rb")
+    packs = parts.groupBy("ra").agg(F.ceil(F.sum("weight")).alias("packs")).join(dealt.select(F.col("root").alias("ra"), "blocks"), "ra")
+    # a block that is full enough is a pack of its own
+    pack = F.when(F.col("weight") > 0.5, F.xxhash64("rb", "block")).otherwise(F.pmod(F.xxhash64("rb", "block"), F.col("packs")))
+    parts = common.cut(parts.join(packs, "ra").select("ra", "rb", "block", "blocks", pack.alias("pack")))
+    one = F.struct(F.array_repeat("root", F.size("sizes")).alias("roots"), "words", "sizes", "lengths", "s")
+    packed = parts.join(blocks.withColumnRenamed("root", "rb"), ["rb", "block"]).withColumnRenamed("rb", "root")
+    packed = packed.groupBy("ra", "blocks", "pack").agg(F.collect_list(one).alias("m"))
+    columns = ["words", "sizes", "lengths", "s"]
+    packed = packed.select("ra", "blocks", F.flatten("m.roots").alias("roots"), *[F.flatten(f"m.{c}").alias(f"{c}_b") for c in columns])
+    packed = common.cut(packed).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    both = packed.join(blocks.withColumnRenamed("root", "ra"), ["ra", "block"])
+    linked = linked_udf(plan)(*columns, *[f"{c}_b" for c in columns], "roots")
+    return both.select(F.col("ra").alias("a"), F.explode(linked).alias("b")).distinct()
 
 
 def tied(roots: DataFrame, links: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -229,6 +231,51 @@ def test_all_candidates_of_two_classes_are_compared(spark):
         assert {p for p in linked & met if any(share(a, b) and similar(a, b) for a in range(n) for b in range(a + 1, n) if (min(root[a], root[b]), max(root[a], root[b])) == p)} <= found
 
 
+def test_large_unlike_classes_meet_in_blocks(spark):
+    """Two classes of 1,500 and 1,000 texts, all alike in their bits: only the shingles of 1.5 million pairs tell them apart."""
+    rng = random.Random(4)
+    plan = simhash_similar.plan_for(2500, 0.8)
+    centre = [rng.getrandbits(63) for _ in range(plan.words)]
+    apart = (plan.bits[0] + plan.bits[1]) // 2
+    other = [centre[i] ^ sum(1 << b for b in range(apart * (i + 1) // plan.words - apart * i // plan.words)) for i in range(plan.words)]
+
+    def text(f):
+        words = list(centre if f < 1500 else other)
+        for b in range(11):
+            words[b % plan.words] ^= (f >> b & 1) << 62
+        base = list(range(400)) if f < 1500 else list(range(70, 470))
+        return f, words, 400, [1000 + 3 * f + i if i < 3 else x for i, x in enumerate(base)]
+
+    rows = [text(f) for f in range(2500)]
+    of = spark.createDataFrame(rows, "f long, words array<long>, size long, s array<long>")
+    fps, sets = common.cut(of.select("f", "words", "size")), common.cut(of.select("f", "s"))
+    roots = common.cut(spark.createDataFrame([(f, 0 if f < 1500 else 1500) for f in range(2500)], "node long, root long"))
+    one = "f long, size int, rate long, held array<struct<k: long, salt: int, bit: int, whole: boolean>>"
+    found = common.cut(spark.createDataFrame([(0, 77, 2, [(1, 0, 0, True)]), (1500, 77, 2, [(1, 0, 0, True)])], one))
+    begun = time.monotonic()
+    assert simhash_similar.class_links(found, roots, fps, plan, lambda wanted: sets).collect() == []
+    # far more than it takes, far less than expressions over each pair
+    assert time.monotonic() - begun < 40
+    # a single text of the one that is like one of the other
+    last = dict((r[0], r[3]) for r in rows)[2499]
+    sets = common.cut(sets.where("f != 700").unionAll(spark.createDataFrame([(700, last)], "f long, s array<long>")))
+    assert [tuple(r) for r in simhash_similar.class_links(found, roots, fps, plan, lambda wanted: sets).collect()] == [(0, 1500)]
+
+
+def test_shared_counts():
+    rng = random.Random(6)
+    sets = [[rng.sample(range(-40, 90), rng.randint(0, 60)) for _ in range(n)] for n in (7, 5)]
+    arrays = [[np.array(x, np.int64) for x in some] for some in sets]
+    kept = simhash_similar.CHUNK
+    try:
+        for simhash_similar.CHUNK in (3, 64, kept):
+            got = simhash_similar.shared_counts(*arrays)
+            assert got.tolist() == [[len(set(x) & set(y)) for y in sets[1]] for x in sets[0]]
+    finally:
+        simhash_similar.CHUNK = kept
+    assert simhash_similar.shared_counts([np.array([1])], [np.array([2]), np.array([], np.int64)]).tolist() == [[0, 0]]
+
+
 def test_index_plan_follows_the_number_of_texts():
     plans = [simhash_similar.plan_for(n, 0.8) for n in (0, 10**3, 10**5, 10**7, 10**10)]
     assert [p.width for p in plans] == [16, 16, 21, 27, 37]
