@@ -5,7 +5,8 @@ merges are folded over the bytes of distinct words, decoding concatenates the
 ids' binary pieces.
 
 ``encode_documents`` folds in Arrow batches: each worker folds a word once and
-keeps its ids in a cache of bounded size. This is the main path, because the
+keeps its ids in a cache of bounded size. Parts of a word are ids and not bytes:
+what two ids merge to is looked up in a table of the vocabulary's pairs. This is the main path, because the
 higher-order functions below, though right, take three times the CPU seconds
 that they may (figures in the README).
 
@@ -266,6 +267,10 @@ def _class_body(ranges: str) -> str:
     return "".join("\\U%08X-\\U%08X" % tuple(int(x, 16) for x in r.split("-")) for r in ranges.split())
 
 
+#: Of ids that nothing merges with.
+NOTHING: dict[int, int] = {}
+
+
 class Codec:
     """Encodes and decodes in one Python worker."""
 
@@ -280,6 +285,16 @@ class Codec:
         self.split_exactly = regex.compile(exact, regex.V1)
         self.young: dict[str, str] = {}
         self.old: dict[str, str] = {}
+        self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
+        #: Of each id, the ids that may follow it and what the two merge to, which is its rank too.
+        self.after: list[dict[int, int]] = [NOTHING] * (max(self.ranks.values()) + 1)
+        for piece, rank in self.ranks.items():
+            for i in range(1, len(piece)):
+                a, b = self.ranks.get(piece[:i]), self.ranks.get(piece[i:])
+                if a is not None and b is not None:
+                    if self.after[a] is NOTHING:
+                        self.after[a] = {}
+                    self.after[a][b] = rank
 
     def fold(self, word: bytes) -> tuple[int, ...]:
         """Merges the neighbours of least rank, the first of equals, until no pair has a rank."""
@@ -288,20 +303,21 @@ class Codec:
             return (ranks[word],)
         if len(word) > CACHED_WORD:
             return self.fold_long(word)
-        parts = [word[i : i + 1] for i in range(len(word))]
-        pair = [ranks.get(word[i : i + 2], NONE) for i in range(len(word) - 1)]
+        after = self.after
+        ids = [self.byte_ids[b] for b in word]
+        pair = [after[a].get(b, NONE) for a, b in zip(ids, ids[1:])]
         while pair:
             least = min(pair)
             if least == NONE:
                 break
             i = pair.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pair[i]
+            ids[i] = least
+            del ids[i + 1], pair[i]
             if i < len(pair):
-                pair[i] = ranks.get(parts[i] + parts[i + 1], NONE)
+                pair[i] = after[least].get(ids[i + 1], NONE)
             if i:
-                pair[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
-        return tuple(map(ranks.__getitem__, parts))
+                pair[i - 1] = after[ids[i - 1]].get(least, NONE)
+        return tuple(ids)
 
     def fold_long(self, word: bytes) -> tuple[int, ...]:
         """The same fold with a heap of pairs and links between parts: n log n for words of any length."""

@@ -43,6 +43,17 @@ def test_word_cache_is_bounded(monkeypatch):
     assert len(codec.young) <= 10 and len(codec.old) <= 10
 
 
+def test_words_are_folded_by_ids():
+    """Once the table of pairs is made, a fold looks no bytes up; it merges as the library does."""
+    enc, codec = reference_encoding(), bpe.Codec(*bpe.public_files())
+    rng = random.Random(3)
+    pieces = [p for p in codec.ranks if p.isalpha()]
+    words = [b"".join(rng.choice(pieces) for _ in range(rng.randint(2, 4)))[: bpe.CACHED_WORD].decode() for _ in range(2000)]
+    words = [w for w in words if w.encode() not in codec.ranks] + ["é" * 9 + "中文" * 3 + "ßäö", "aaaaaaaaab" * 6]
+    codec.ranks = {}
+    assert all(codec.fold(w.encode()) == tuple(enc.encode_ordinary(w)) for w in words)
+
+
 def test_native_and_arrow_styles_agree(spark):
     texts = [*odd_texts(150, 3), None, "", "Überfall it's 12 345!", "same", "same"]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("m", F.lit("clash"))
