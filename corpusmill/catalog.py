@@ -17,7 +17,7 @@ from .operators import frequency, gate, inventory, ledger, lexicon, structure, t
 from .plans import fixed_tables as T
 from .plans import views
 from .sources import csvs, docx
-from .sources.folders import shared_folder, written
+from .sources.folders import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -47,7 +47,7 @@ def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(spark: SparkSession, sf_dir: str, form: str) -> DataFrame:
-    return frequency.word_table(_counts(spark, sf_dir), form)
+    return frequency.word_table(frequency.token_counts(views.units(spark, sf_dir), by_word=form == "raw"), form)
 
 
 # ---- SQL pieces -----------------------------------------------------------------------------
@@ -228,7 +228,7 @@ ledger AS MATERIALIZED (SELECT s.word, g AS group_no, gn AS group_name, row_numb
 @query("ledger", f"WITH {SQL_LEDGER} SELECT * FROM ledger")
 def word_ledger(spark, sf_dir):
     units = views.units(spark, sf_dir)
-    return ledger.ledger(units, frequency.token_counts(units))
+    return ledger.ledger(units, frequency.token_counts(units, by_word=True))
 
 
 @query(
@@ -480,14 +480,18 @@ tracker AS MATERIALIZED (SELECT word, CASE WHEN len % 11 = 0 THEN global_no + 50
 vocab AS MATERIALIZED (SELECT word AS vw, c AS vc FROM a), refs AS MATERIALIZED (SELECT DISTINCT g || ':' || n AS ref FROM u)"""
 
 
+T_ROWS = "array<struct<word:string,global_no:bigint>>"
+
+
 def _tracker(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tracker, vocabulary, units); the first two are read many times and written."""
+    """(tracker, vocabulary, units); the first two are columns of the ledger's numbered rows, which are written."""
     units = views.units(spark, sf_dir)
-    counts = written(frequency.token_counts(units))
-    base = ledger.ledger(units, counts).withColumn("len", F.length("word")).where("len % 17 <> 0")
-    columns = ["word", "global_no", "count", "first_ref", F.col("group_name").alias("surah"), "len"]
-    added = base.where("len % 19 = 0").withColumn("word", F.concat("word", F.lit("ZZ"))).withColumn("global_no", F.col("global_no") + 10_000_000)
-    rows = base.select(*columns).unionAll(added.select(*columns)).unionAll(base.where("len % 23 = 0").select(*columns))
+    numbered = ledger.numbered(frequency.token_counts(units, by_word=True))
+    base = ledger.in_groups(numbered, units).withColumn("len", F.length("word")).where("len % 17 <> 0")
+    itself = F.struct("word", "global_no")
+    added = F.struct(F.concat("word", F.lit("ZZ")).alias("word"), (F.col("global_no") + 10_000_000).alias("global_no"))
+    each = F.concat(F.array(itself), *[F.when(F.col("len") % n == 0, F.array(x)).otherwise(F.array().cast(T_ROWS)) for n, x in ((19, added), (23, itself))])
+    rows = base.select(F.inline(each), "count", "first_ref", F.col("group_name").alias("surah"), "len")
     no = F.col("global_no") % 5
     out = rows.select(
         "word",
@@ -497,7 +501,7 @@ def _tracker(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.when(F.col("len") % 7 == 0, F.concat(F.lit("999:"), "first_ref")).otherwise(F.col("first_ref")).alias("first_ref"),
         "surah",
     )
-    return written(out), written(tracker.vocabulary(counts)), units
+    return out, numbered.select(F.col("word").alias("vocab_word"), F.col("count").alias("vocab_count")), units
 
 
 _DONE = f"lower({sql_strip(chr(99) + 'oalesce(done, ' + chr(39) * 2 + ')')})"

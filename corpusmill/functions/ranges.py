@@ -1,23 +1,24 @@
-"""Range buckets and global row numbers without a single-task sort.
+"""Global row numbers without a single-task sort.
 
-Sampled splitters, taken by a hash so that reruns take the same ones, cut a
-table into ranges; a window numbers the rows of each range and the counts of
-the ranges before it are added. Only the splitters and one count a range come
-to the driver: ``SAMPLES`` keys for every ``ROWS`` rows.
+Spark deals the rows to ranges by splitters that it samples and sorts each
+range; a row's number is its place there and the counts of the ranges before.
+Where the splitters fall changes no number, as the order is total. Only the
+sample and one count a range come to the driver.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.folders import written
 
-#: Keys sampled for each bucket, and rows of a bucket where the shuffle partitions aren't more.
-SAMPLES, ROWS = 48, 2_000_000
+#: Rows of a range where the shuffle partitions aren't more.
+ROWS = 2_000_000
 
 
 def sort_keys(df: DataFrame, order: list[tuple[str, bool]]) -> list[Column]:
@@ -32,50 +33,22 @@ def sort_keys(df: DataFrame, order: list[tuple[str, bool]]) -> list[Column]:
     return keys
 
 
-def splitters(df: DataFrame, keys: list[Column], rows: int, n: int) -> list[tuple]:
-    """At most ``n - 1`` keys, ascending; ``df`` has no nulls in them."""
-    if rows == 0 or n <= 1:
-        return []
-    share = min(1.0, SAMPLES * n / rows)
-    if share < 1:
-        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 60)) < F.lit(max(1, round(share * (1 << 60)))))
-    found = sorted(tuple(r) for r in df.select(*keys).collect())
-    return list(dict.fromkeys(found[len(found) * k // n] for k in range(1, n))) if found else []
+def with_row_number(df: DataFrame, order: list[tuple[str, bool]], out: str, buckets: int | None = None, keep: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """``df`` with BIGINT ``out`` = 1..N in the order given, which must be total and without nulls; (column, descending).
 
-
-def bucket(bounds: list[tuple], keys: list[Column], kinds: list[str]) -> Column:
-    """How many of the splitters are not after the row: a binary search in one literal array, however many they are."""
-    if not bounds:
-        return F.lit(0)
-    names = [f"c{i}" for i in range(len(keys))]
-    body = json.dumps([dict(zip(names, b)) for b in bounds])
-    table = F.from_json(F.lit(body), "array<struct<" + ",".join(f"{n}:{k}" for n, k in zip(names, kinds)) + ">>")
-    key = F.struct(*[k.cast(t).alias(n) for k, t, n in zip(keys, kinds, names)])
-
-    def halve(s: Column, _: Column) -> Column:
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        right = F.struct((mid + 1).alias("lo"), s["hi"].alias("hi"))
-        left = F.struct(s["lo"].alias("lo"), mid.alias("hi"))
-        return F.when(s["lo"] < s["hi"], F.when(key >= F.get(table, mid), right).otherwise(left)).otherwise(s)
-
-    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), halve, lambda s: s["lo"])
-
-
-def with_row_number(df: DataFrame, order: list[tuple[str, bool]], out: str, buckets: int | None = None) -> DataFrame:
-    """``df`` with BIGINT ``out`` = 1..N in the order given, which must be total and without nulls; (column, descending)."""
-    # read four times: to count, to sample, to count buckets and to number
-    df = written(df)
+    ``keep`` cuts the sorted rows; ``df`` is read three times: to count, to sample and to sort.
+    """
+    keys = sort_keys(df, order)
     rows = df.count()
     n = buckets or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // ROWS))
-    keys = sort_keys(df, order)
-    bounds = splitters(df, keys, rows, n)
-    dealt = df.withColumn("_bucket", bucket(bounds, keys, ["string" if isinstance(df.schema[c].dataType, T.StringType) else "bigint" for c, _ in order]))
-    counts = {r["_bucket"]: r["n"] for r in dealt.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Spark's own number of a row is its partition's times 2^33 and its place there
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    dealt = keep(ranged.withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    counts = {r["part"]: r["n"] for r in dealt.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
     before, run = [], 0
-    for b in range(len(bounds) + 1):
+    for p in range(max(counts, default=-1) + 1):
         before.append(run)
-        run += counts.get(b, 0)
-    inside = Window.partitionBy("_bucket").orderBy(*keys)
-    offset = F.get(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), F.col("_bucket"))
-    return dealt.withColumn(out, F.row_number().over(inside).cast("bigint") + offset).drop("_bucket")
+        run += counts.get(p, 0)
+    offset = F.get(F.from_json(F.lit(json.dumps(before)), "array<bigint>"), part.cast("int"))
+    return dealt.withColumn(out, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + offset).drop("_at")

@@ -8,15 +8,14 @@ from __future__ import annotations
 
 import gc
 import json
-import re
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.shipping import ship
-from ..sources.folders import written
+from ..functions.batches import ready_for_python  # noqa: F401
+from ..sources.folders import delete, written  # noqa: F401
 
 #: Keys that a range split samples for each of its buckets, and buckets for each partition: several
 #: small buckets fill a partition more evenly than one.
@@ -53,25 +52,6 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: Rows, and bytes, of an Arrow batch at most.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-
-
-def ready_for_python(spark: SparkSession) -> None:
-    """Before Python runs: the code goes to the workers, and Arrow batches are bounded in rows and bytes.
-
-    Texts may be long, and workers have bounded memory. Spark reads the settings
-    when a plan runs, after it is declared, so they stay with the session;
-    smaller ones of its own are kept.
-    """
-    ship(spark)
-    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        name = f"spark.sql.execution.arrow.{name}"
-        own = re.fullmatch(r"(\d+)([kmg]?)b?", spark.conf.get(name).lower())
-        if not own or int(own[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[own[2]] > most:
-            spark.conf.set(name, str(most))
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}
@@ -80,12 +60,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a folder in any store that Spark writes to."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def hashed_under(hashed: Column, share: float) -> Column:
     """Whether a 64-bit hash is among the least so share of all: the same rows in reruns, fine enough for any size of input."""
     return F.pmod(hashed, F.lit(1 << 60)) < F.lit(min(1 << 60, max(1, round(share * (1 << 60)))))

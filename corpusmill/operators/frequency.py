@@ -1,7 +1,9 @@
 """Token frequencies and what is read off them.
 
-``token_counts`` tokenises every text once and aggregates at the grain (token,
-group). All forms start from it: a form is applied to the distinct (token,
+``token_counts`` tokenises every text once, in Arrow batches, and aggregates at
+the grain (token, group): Python splits and counts a text's tokens several times
+as fast as expressions explode them, and only what a task has gathered goes on.
+All forms start from it: a form is applied to the distinct (token,
 group) pairs, not to every occurrence, within an explode, below which the
 optimizer moves no filter on it; then one exchange by word serves both
 aggregates, by (word, group) and by word. The first occurrence is carried as
@@ -11,33 +13,102 @@ aggregate and a frequent token costs no more than a rare one.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import ready_for_python, strings
 from ..functions.forms import FORMS
 from ..functions.rounding import half_even
 from ..functions.shipping import ship
-from ..functions.text import reference, tokens
+from ..functions.text import reference
 
 #: Units of one group; a first occurrence is group * UNITS + unit.
 UNITS = 1 << 32
 TAIL = 100
 
 
-def place(group: Column, unit: Column) -> Column:
-    """(group, unit) packed; fails for groups or units out of range."""
+#: Tokens, each counted once a text, that a task gathers before it hands their sums on, and rows handed on at once.
+HELD, OUT_ROWS = 1_000_000, 50_000
+#: Places within a text; a token's place in its group is unit * PLACES + place.
+PLACE_BITS = 31
+
+
+def packed(group: Column, unit: Column) -> Column:
+    """(group, unit) as one number; null for groups or units out of range."""
     fits = (group >= 0) & (group < (1 << 31)) & (unit >= 0) & (unit < UNITS)
-    return F.when(fits, group.cast("bigint") * F.lit(UNITS) + unit.cast("bigint")).otherwise(F.raise_error(F.lit("group or unit number out of range")).cast("bigint"))
+    return F.when(fits, group.cast("bigint") * F.lit(UNITS) + unit.cast("bigint"))
+
+
+def in_range(place: int | None) -> int:
+    if place is None:
+        raise ValueError("group or unit number out of range")
+    return place
 
 
 def place_reference(ord_: Column) -> Column:
     return reference(F.shiftright(ord_, 32), ord_.bitwiseAND(F.lit(UNITS - 1)))
 
 
-def token_counts(units: DataFrame) -> DataFrame:
-    """``(token, group_no, n, first)`` over all units."""
-    rows = units.select("group_no", place(F.col("group_no"), F.col("unit_no")).alias("ord"), F.explode(tokens(F.col("text"))).alias("token"))
-    return rows.groupBy("token", "group_no").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and first places of tokens by group, of the texts ``(ord, text)`` of a task."""
+    words, ns, places, sizes = [], [], [], []
+    tables, held = [], 0
+
+    def table() -> pa.Table:
+        """What was counted since the last one: a row for each token of a text."""
+        n, first = np.array(sizes, np.int64), np.array(places, np.int64)
+        at = np.repeat(((first & (UNITS - 1)) << PLACE_BITS) - (np.cumsum(n) - n), n) + np.arange(len(words))
+        made = pa.table({"token": pa.array(words, pa.string()), "group_no": np.repeat(first >> 32, n), "n": pa.array(ns, pa.int64()), "at": at})
+        for x in (words, ns, places, sizes):
+            x.clear()
+        return made
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        if words:
+            tables.append(table())
+        if tables:
+            found = pa.concat_tables(tables).group_by(["token", "group_no"], use_threads=False).aggregate([("n", "sum"), ("at", "min")])
+            yield from found.rename_columns(["token", "group_no", "n", "at"]).to_batches(max_chunksize=OUT_ROWS)
+        tables.clear()
+        held = 0
+
+    for batch in batches:
+        for place, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
+            # in order of first occurrence
+            found = Counter(text.split()) if text else None
+            if not found:
+                continue
+            words.extend(found)
+            ns.extend(found.values())
+            places.append(in_range(place))
+            sizes.append(len(found))
+            held += len(found)
+        if words and len(words) >= HELD // 8:
+            tables.append(table())
+        if held >= HELD:
+            yield from flush()
+    yield from flush()
+
+
+def token_counts(units: DataFrame, by_word: bool = False) -> DataFrame:
+    """``(token, group_no, n, first, at)`` over all units; ``at`` orders first occurrences within a group by unit and place in its text.
+
+    ``by_word`` deals the rows by token alone, so that an aggregate by token
+    needs no other exchange.
+    """
+    ready_for_python(units.sparkSession)
+    kind = units.schema["group_no"].dataType
+    rows = units.select(packed(F.col("group_no"), F.col("unit_no")).alias("ord"), "text").mapInArrow(gathered, "token string, group_no bigint, n bigint, at bigint")
+    rows = rows.repartition("token") if by_word else rows
+    counts = rows.groupBy("token", "group_no").agg(F.sum("n").alias("n"), F.min("at").alias("at"))
+    first = F.shiftleft("group_no", 32) + F.shiftright("at", PLACE_BITS)
+    return counts.select("token", F.col("group_no").cast(kind).alias("group_no"), "n", first.alias("first"), "at")
 
 
 def in_form(counts: DataFrame, form: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """First-occurrence ledger of words.
 
-A word enters at its first occurrence in corpus order (group, unit, position).
-Occurrences are thinned within each unit before the shuffle, the order is one
-DECIMAL, and both global numbers, first-seen order and frequency rank, come
-from range buckets rather than a one-task sort.
+A word enters at its first occurrence in corpus order (group, unit, position),
+which the token counts carry, so texts are not read again. Both global numbers,
+first-seen order and frequency rank, come from sorted ranges rather than a
+one-task sort.
 """
 
 from __future__ import annotations
@@ -13,21 +13,53 @@ from pyspark.sql import functions as F
 
 from ..functions.ranges import with_row_number
 from ..functions.text import tokens
-from ..sources.folders import written
-from .frequency import place, place_reference
+from ..sources.folders import delete, stored, written
+from .frequency import PLACE_BITS, packed, place_reference, token_counts
 
 SHOWN_REFS = 12
 JOINT, MORE = " · ", " … (+"
 
 
-def first_seen(units: DataFrame) -> DataFrame:
-    """``(word, ord, pos, group_no)``: where each word first occurs."""
-    rows = units.select(place(F.col("group_no"), F.col("unit_no")).alias("ord"), F.posexplode(F.array_distinct(tokens(F.col("text")))).alias("pos", "word"))
-    joint = F.col("ord").cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos").cast("decimal(10,0)")
-    seen = rows.select("word", joint.cast("decimal(38,0)").alias("at")).groupBy("word").agg(F.min("at").alias("at"))
-    ord_ = F.floor(F.col("at") / F.lit(1 << 31).cast("decimal(11,0)")).cast("bigint")
-    seen = seen.withColumn("ord", ord_).withColumn("pos", (F.col("at") - F.col("ord").cast("decimal(27,0)") * F.lit(1 << 31).cast("decimal(11,0)")).cast("bigint"))
-    return seen.select("word", "ord", "pos", F.shiftright("ord", 32).alias("group_no"))
+def first_seen(counts: DataFrame) -> DataFrame:
+    """``(word, count, distinct_groups, group_no, at)``: group and place there of each word's first occurrence."""
+    # one row a (token, group), so no two are first in the same group
+    return counts.groupBy(F.col("token").alias("word")).agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("distinct_groups"), F.min("group_no").alias("group_no"), F.min_by("at", "group_no").alias("at")
+    )
+
+
+def numbered(counts: DataFrame) -> DataFrame:
+    """The first occurrences with ``rank`` and ``global_no``, written."""
+    spark = counts.sparkSession
+    paths = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept, path = stored(df, "ledger-step")
+        paths.append(path)
+        return kept
+
+    words = keep(first_seen(counts))
+    ranked = with_row_number(words, [("count", True), ("word", False)], "rank", keep=keep)
+    rows = with_row_number(ranked, [("group_no", False), ("at", False)], "global_no")
+    for path in paths:
+        delete(spark, path)
+    return rows
+
+
+#: Groups that are few enough to be broadcast.
+FEW_GROUPS = 100_000
+
+
+def in_groups(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Numbered rows as the ledger shows them, but for references."""
+    names = units.select("group_no", "group_name").distinct()
+    # global numbers run through the groups in order, so a group's own number needs its first one, not a window over the group
+    groups = written(rows.groupBy("group_no").agg((F.min("global_no") - 1).alias("before"), F.count(F.lit(1)).alias("group_total")).join(names, "group_no"))
+    # the first groups hold most words: dealt by group they would be few tasks
+    groups = F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups
+    rows = rows.join(groups, "group_no").withColumn("no_in_group", F.col("global_no") - F.col("before"))
+    first = F.shiftleft("group_no", 32) + F.shiftright("at", PLACE_BITS)
+    return rows.select("word", "group_no", "group_name", "no_in_group", "group_total", "global_no", F.lit("No").alias("done"), "count", place_reference(first).alias("first_ref"), "distinct_groups", "rank")
 
 
 def all_references(units: DataFrame, shown: int = SHOWN_REFS) -> DataFrame:
@@ -36,7 +68,7 @@ def all_references(units: DataFrame, shown: int = SHOWN_REFS) -> DataFrame:
     The window keeps ``shown`` rows a word in each task before the shuffle, so
     a word of any frequency brings few rows.
     """
-    rows = units.select(place(F.col("group_no"), F.col("unit_no")).alias("ord"), F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
+    rows = units.select(packed(F.col("group_no"), F.col("unit_no")).alias("ord"), F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
     rank = F.row_number().over(Window.partitionBy("word").orderBy("ord", "pos"))
     head = rows.withColumn("r", rank).where(F.col("r") <= shown).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("r", "ord"))).alias("head"))
     counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -47,24 +79,13 @@ def all_references(units: DataFrame, shown: int = SHOWN_REFS) -> DataFrame:
 
 def ledger(units: DataFrame, counts: DataFrame, with_refs: bool = False) -> DataFrame:
     """word, group_no, group_name, no_in_group, group_total, global_no, done, count, first_ref, distinct_groups, rank (, refs)."""
-    seen = first_seen(units)
-    words = counts.groupBy("token").agg(F.sum("n").alias("count"), F.count(F.lit(1)).alias("distinct_groups")).withColumnRenamed("token", "word")
-    names = units.select("group_no", "group_name").distinct()
-    rows = seen.join(words, "word")
-    rows = with_row_number(rows, [("count", True), ("word", False)], "rank")
-    rows = with_row_number(rows, [("ord", False), ("pos", False)], "global_no")
-    # global numbers run through the groups in order, so a group's own number needs its first one, not a window over the group
-    rows = written(rows)
-    groups = rows.groupBy("group_no").agg((F.min("global_no") - 1).alias("before"), F.count(F.lit(1)).alias("group_total")).join(names, "group_no")
-    rows = rows.join(groups, "group_no").withColumn("no_in_group", F.col("global_no") - F.col("before"))
-    if with_refs:
-        rows = rows.join(all_references(units), "word")
-    return rows.select("word", "group_no", "group_name", "no_in_group", "group_total", "global_no", F.lit("No").alias("done"), "count", place_reference(F.col("ord")).alias("first_ref"), "distinct_groups", "rank", *(["refs"] if with_refs else []))
+    rows = in_groups(numbered(counts), units)
+    return rows.join(all_references(units), "word") if with_refs else rows
 
 
 def new_words(units: DataFrame) -> DataFrame:
     """group_no, group_name, new_words, cumulative, share: one row a group, also for those without new words."""
-    found = first_seen(units).groupBy("group_no").agg(F.count(F.lit(1)).alias("n"))
+    found = first_seen(token_counts(units, by_word=True)).groupBy("group_no").agg(F.count(F.lit(1)).alias("n"))
     groups = units.select("group_no", "group_name").distinct().join(found, "group_no", "left").select("group_no", "group_name", F.coalesce("n", F.lit(0)).alias("new_words"))
     run, whole = Window.orderBy("group_no"), Window.partitionBy()
     groups = groups.withColumn("cumulative", F.sum("new_words").over(run)).withColumn("total", F.sum("new_words").over(whole))

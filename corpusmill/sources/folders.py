@@ -28,6 +28,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark writes to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder as Parquet, and where; the caller deletes it after its last read.
+
+    Columns are read as they are asked for, and rows cost a fraction of what
+    they cost in a checkpoint, which stores them as Java objects.
+    """
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut; Spark deletes it once nothing refers to it, if so configured.
 

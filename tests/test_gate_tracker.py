@@ -1,4 +1,6 @@
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.operators import frequency, gate, ledger, tracker
 
@@ -105,3 +107,29 @@ def test_gate_reports_more_violations_than_it_names(spark):
     *named, last = failed.value.failures
     assert len(named) == gate.NAMED and last.startswith(f"{n} violations in all, written to ")
     assert spark.read.parquet(last.split(" written to ")[1]).distinct().count() == n
+
+
+def test_ledger_reads_no_text_again(spark):
+    """First places come with the counts; the units give only the groups' names."""
+    units = spark.createDataFrame(GOOD, UNITS)
+    counts = frequency.token_counts(units, by_word=True).localCheckpoint()
+    unread = units.withColumn("text", F.raise_error(F.lit("a text was read")).cast("string"))
+    rows = ledger.ledger(unread, counts).orderBy("global_no").collect()
+    assert [(r.word, r.global_no, r.rank, r.first_ref) for r in rows] == [("ا", 1, 1, "1:1"), ("ب", 2, 2, "1:1"), ("ج", 3, 3, "1:2")]
+
+
+@pytest.mark.parametrize("held", [1, 7, 10**6])
+def test_gathered_counts_and_places(held, monkeypatch):
+    """Sums of what a task hands on, however often it does, with repeated units, blank texts and bytes that are no UTF-8."""
+    monkeypatch.setattr(frequency, "HELD", held)
+    texts = [(2, 5, b"b a  a\xc2\xa0c"), (2, 4, b"a b"), (1, 9, b""), (1, 9, None), (1, 9, b" \x1c "), (2, 4, b"c"), (0, (1 << 32) - 1, b"a \xff")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([(g << 32) | u]), pa.array([t]).cast(pa.binary()).view(pa.string())], ["ord", "text"]) for g, u, t in texts]
+    got = {}
+    for batch in frequency.gathered(iter(batches)):
+        for r in batch.to_pylist():
+            n, at = got.get((r["token"], r["group_no"]), (0, r["at"]))
+            got[r["token"], r["group_no"]] = (n + r["n"], min(at, r["at"]))
+    at = lambda unit, place: (unit << 31) + place
+    assert got == {("b", 2): (2, at(4, 1)), ("a", 2): (3, at(4, 0)), ("c", 2): (2, at(4, 0)), ("a", 0): (1, at((1 << 32) - 1, 0)), ("�", 0): (1, at((1 << 32) - 1, 1))}
+    with pytest.raises(ValueError):
+        list(frequency.gathered(iter([pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array(["a"])], ["ord", "text"])])))
