@@ -1,22 +1,24 @@
 """Code-point inventory of all texts.
 
-Characters are counted over distinct white-space-free tokens times their
-counts, and over the white-space runs between them, so the rows that are
-exploded are the vocabulary's characters, not the corpus's.
+A task counts the code points of its texts in Arrow batches, as an array
+indexed by code point, and hands on one row for each that it met.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import charclass as C
+from ..functions.batches import CODEPOINTS, codepoints, ready_for_python, strings
 from ..functions.shipping import ship
-from ..functions.text import codepoint, codepoint_label, display, tokens
+from ..functions.text import codepoint, codepoint_label, display
 
 UNNAMED = "<no Unicode name assigned>"
 
@@ -27,12 +29,20 @@ def unicode_facts(cp: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"name": [unicodedata.name(c, UNNAMED) for c in chars], "category": [unicodedata.category(c) for c in chars]})
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The characters of a task's texts and how often they occur."""
+    total = np.zeros(CODEPOINTS, np.int64)
+    for batch in batches:
+        found = np.bincount(codepoints("".join(x for x in strings(batch.column(0)) if x)))
+        total[: len(found)] += found
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array([chr(x) for x in seen], pa.string()), pa.array(total[seen])], ["c", "n"])
+
+
 def codepoint_counts(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """codepoint, decimal, char, count."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    words = texts.select(F.explode(tokens(text)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    spaces = texts.select(F.explode(F.regexp_extract_all(text, F.lit(f"[{C.SPACE}]+"), F.lit(0))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    chars = words.unionAll(spaces).select(F.explode(F.split("w", "")).alias("c"), "n").where("c <> ''")
+    ready_for_python(texts.sparkSession)
+    chars = texts.select(F.col(text_col)).mapInArrow(counted, "c string, n bigint")
     counts = chars.groupBy("c").agg(F.sum("n").alias("count")).withColumn("decimal", codepoint(F.col("c")))
     return counts.select(codepoint_label(F.col("decimal")).alias("codepoint"), "decimal", display(F.col("c"), F.col("decimal")).alias("char"), "count")
 

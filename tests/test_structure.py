@@ -1,9 +1,10 @@
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import structure
+from corpusmill.operators import inventory, structure
 from corpusmill.plans import fixed_tables as T
 
 
@@ -91,3 +92,11 @@ def test_trailing_audit_and_census(spark):
     got = {r.g: r.anomalous for r in structure.formula_census(elements, "g", groups, (1, 9)).collect()}
     assert got == {g: g != 9 for g in range(2, 10)}
     assert F is not None
+
+
+def test_code_points_are_counted_in_batches():
+    texts = [b"a\xf0\x9f\x98\x80a", None, b"", b"\n\xff"]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t], pa.binary()).view(pa.string())], ["text"]) for t in texts]
+    (found,) = inventory.counted(iter(batches))
+    assert {r["c"]: r["n"] for r in found.to_pylist()} == {"a": 2, "\U0001f600": 1, "\n": 1, "�": 1}
+    assert sum(b.num_rows for b in inventory.counted(iter([]))) == 0
