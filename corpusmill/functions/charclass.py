@@ -7,6 +7,7 @@ from __future__ import annotations
 
 #: The 29 white-space characters of Python's str.split, as a class body.
 SPACE = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Rule N1, annotation signs; N2, vowel signs; N3, elongation; N4, zero-width and direction signs.
 ANNOTATION = r"\x{06D6}-\x{06ED}\x{0610}-\x{061A}"
 VOWELS = r"\x{064B}-\x{065F}\x{0670}"

@@ -9,8 +9,8 @@ from . import charclass as C
 
 
 def strip(text: Column) -> Column:
-    """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(text, f"^[{C.SPACE}]+|[{C.SPACE}]+$", "")
+    """Without leading and trailing white space of any kind; only the ends are looked at."""
+    return F.btrim(text, F.lit(C.SPACES))
 
 
 def collapse(text: Column) -> Column:

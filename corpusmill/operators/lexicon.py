@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from ..functions.batches import bare, leading_bare, ready_for_python, strings, token_number
 from ..functions.forms import no_tashkeel
-from ..functions.text import leading_tokens, reference, tokens
+from ..functions.text import reference, tokens
 from ..plans import fixed_tables as T
 
 Gate = tuple[tuple[str, str, str, str, str], ...]
@@ -21,6 +26,28 @@ def gate_table(spark: SparkSession, entries: Gate = T.SURFACE_GATE) -> DataFrame
     return spark.createDataFrame(list(entries), "skeleton string, surface string, rule string, decomposition string, note string")
 
 
+T_FOUND = StructType([StructField("pos", IntegerType()), StructField("token_raw", StringType()), StructField("token_no_tashkeel", StringType())])
+
+
+def with_skeletons(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """Group, name, unit, place, token and skeleton of each token whose skeleton is wanted, in units whose tokens all have one."""
+    for batch in batches:
+        units, places, raws, bares = [], [], [], []
+        for unit, text in enumerate(strings(batch.column(3))):
+            if not text:
+                continue
+            raw, skeletons = text.split(), bare(text).split()
+            if len(raw) != len(skeletons):
+                continue
+            hits = [i for i, s in enumerate(skeletons) if s in wanted]
+            units += [unit] * len(hits)
+            places += hits
+            raws += [raw[i] for i in hits]
+            bares += [skeletons[i] for i in hits]
+        kept = [batch.column(i).take(pa.array(units, pa.int64())) for i in range(3)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(places, pa.int32()), pa.array(raws, pa.string()), pa.array(bares, pa.string())], [*batch.schema.names[:3], *T_FOUND.names])
+
+
 def flag_tokens(units: DataFrame, lexicon: DataFrame, gate: DataFrame) -> DataFrame:
     """One row for each token whose skeleton is in the gate or the lexicon.
 
@@ -28,11 +55,12 @@ def flag_tokens(units: DataFrame, lexicon: DataFrame, gate: DataFrame) -> DataFr
     with a token that loses all its characters is left out whole. Lexicon and
     gate are small fixed tables, so both joins are broadcasts.
     """
-    skeletons = F.transform(tokens(F.col("text")), lambda w: no_tashkeel(w))
-    rows = units.select("group_no", "group_name", "unit_no", tokens(F.col("text")).alias("raw"), skeletons.alias("bare"))
-    rows = rows.where(~F.array_contains("bare", ""))
-    rows = rows.select("group_no", "group_name", "unit_no", F.posexplode(F.arrays_zip("raw", "bare")).alias("pos", "t"))
-    rows = rows.select("group_no", "group_name", "unit_no", "pos", F.col("t.raw").alias("token_raw"), F.col("t.bare").alias("token_no_tashkeel"))
+    ready_for_python(units.sparkSession)
+    wanted = frozenset(r.skeleton for r in lexicon.select("skeleton").unionAll(gate.select("skeleton")).collect())
+    units = units.select("group_no", "group_name", "unit_no", "text")
+    found = T_FOUND.fields
+    schema = StructType([*units.schema.fields[:3], *found])
+    rows = units.mapInArrow(lambda batches: with_skeletons(batches, wanted), schema)
     gated = F.broadcast(gate.select(F.col("skeleton").alias("gk"), F.col("surface").alias("gs"), F.col("rule").alias("g_rule"), F.col("decomposition").alias("g_dec"), F.col("note").alias("g_note")))
     keys = F.broadcast(gate.select(F.col("skeleton").alias("gate_key")).distinct())
     known = F.broadcast(lexicon.select(F.col("skeleton").alias("lk"), F.col("rule").alias("l_rule"), F.col("decomposition").alias("l_dec")))
@@ -78,6 +106,7 @@ def opening_letters(units: DataFrame, letters: DataFrame, strict: bool = False,
     standing definition; ``strict`` calls them not matched. ``small`` says that
     ``letters`` is a fixed table that may be broadcast.
     """
+    ready_for_python(units.sparkSession)
     hint = F.broadcast if small else (lambda df: df)
     wanted = hint(letters)
     # last one wins where a unit number repeats: read the larger text, so reruns agree
@@ -86,7 +115,7 @@ def opening_letters(units: DataFrame, letters: DataFrame, strict: bool = False,
     rows = wanted.join(known, (F.col("surah") == F.col("group_no")) & (F.col("ayah") == F.col("unit_no")), "left")
     # each token has a character at least, so no more of them than letters, and one, are walked; three are shown
     most = F.greatest(F.length("letters") + 1, F.lit(3))
-    rows = rows.select("surah", "ayah", "letters", F.col("text").isNull().alias("absent"), leading_tokens(no_tashkeel(F.col("text")), most).alias("t"))
+    rows = rows.select("surah", "ayah", "letters", F.col("text").isNull().alias("absent"), leading_bare(F.col("text"), most).alias("t"))
 
     def step(s: F.Column, t: F.Column) -> F.Column:
         acc = F.concat(s["acc"], t)
@@ -106,7 +135,7 @@ def opening_letters(units: DataFrame, letters: DataFrame, strict: bool = False,
 
 def definitions(units: DataFrame, structural: DataFrame, openings: DataFrame, flags: DataFrame) -> DataFrame:
     """``(definition, component, value)``: the totals A to D and what they are made of."""
-    n_tokens = F.sum(F.size(tokens(F.col("text")))).cast("bigint")
+    n_tokens = F.sum(token_number(F.col("text")))
     verse = units.agg(F.coalesce(n_tokens, F.lit(0)).alias("verse"))
     formula = structural.agg(
         F.coalesce(F.sum(F.when(F.col("basmalah_present"), F.size(tokens(F.col("basmalah_text_raw"))))), F.lit(0)).alias("formula"),

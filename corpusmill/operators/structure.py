@@ -30,7 +30,10 @@ def paragraphs_to_lines(paragraphs: DataFrame) -> DataFrame:
 def classify(lines: DataFrame) -> DataFrame:
     """Adds stripped ``line``, ``kind`` (blank, header, unclassified, formula, body) and ``block_no``."""
     rows = lines.select("doc", "line_no", strip(F.col("line")).alias("line"))
-    bare, digit, size = no_tashkeel(F.col("line")), has_digit(F.col("line")), F.length("line")
+    size = F.length("line")
+    # longer lines are neither header nor formula: null is as good as false beside the length, and spares them the search
+    short = F.when(size < HEADER_LENGTH, F.col("line"))
+    bare, digit = no_tashkeel(short), has_digit(short)
     header = bare.startswith(T.HEADER_WORD) & (size < HEADER_LENGTH) & ~digit
     formula = ~digit & (size <= FORMULA_LENGTH) & bare.startswith(T.FORMULA_WORD)
     block = F.sum(header.cast("bigint")).over(Window.partitionBy("doc").orderBy("line_no"))

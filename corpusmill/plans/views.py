@@ -11,8 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.forms import no_tashkeel
-from ..functions.text import tokens
+from ..functions.batches import leading_bare, ready_for_python
 
 #: The view, character by character.
 VIEW = {
@@ -54,8 +53,8 @@ GATE = tuple((skeleton(w), vocalise(s), f"GATED_{w.upper()}", d, note) for w, s,
 
 def opening_words(found: DataFrame) -> DataFrame:
     """Letters for each unit: its first one to three skeleton tokens put together, every seventh ones that no unit opens with; every fifth for a unit that isn't there."""
-    t = tokens(no_tashkeel(F.col("text")))
-    letters = F.when(F.col("unit_no") % 7 == 0, "zz").otherwise(F.array_join(F.slice(t, F.lit(1), (1 + F.col("unit_no") % 3).cast("int")), ""))
+    ready_for_python(found.sparkSession)
+    letters = F.when(F.col("unit_no") % 7 == 0, "zz").otherwise(F.array_join(leading_bare(F.col("text"), (1 + F.col("unit_no") % 3).cast("int")), ""))
     return found.select(F.col("group_no").alias("surah"), F.when(F.col("unit_no") % 5 == 4, -1 - F.col("unit_no")).otherwise(F.col("unit_no")).alias("ayah"), letters.alias("letters"))
 
 

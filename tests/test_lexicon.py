@@ -1,4 +1,8 @@
-from corpusmill.operators import lexicon
+import pyarrow as pa
+
+from corpusmill.functions import batches
+from corpusmill.functions import charclass as C
+from corpusmill.operators import lexicon, structure
 from corpusmill.plans import fixed_tables as T
 
 UNITS = "group_no long, group_name string, unit_no long, text string"
@@ -57,3 +61,28 @@ def test_definitions(spark):
     assert [cells[d, "total"] for d in "ABCD"] == [7, 5, 4, 5]
     assert cells["D", "homographs_suppressed_by_vocalization_gate"] == 2 and cells["D", "hypothetical_total_if_all_split"] == 6
     assert cells["context", "surah_header_tokens_excluded"] == 4
+
+
+def test_skeletons_and_leading_tokens_in_batches():
+    """Places of wanted skeletons in units whose tokens all keep a character; leading tokens without reading on."""
+    texts = ["aًb c a", "c ً c", None, "", " c\x1cx c"]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, pa.array(["g"] * len(texts)), ids, pa.array(texts)], ["group_no", "group_name", "unit_no", "text"])
+    (found,) = lexicon.with_skeletons(iter([batch]), frozenset(["ab", "c"]))
+    got = [(r["unit_no"], r["pos"], r["token_raw"], r["token_no_tashkeel"]) for r in found.to_pylist()]
+    assert got == [(0, 0, "aًb", "ab"), (0, 1, "c", "c"), (4, 0, "c", "c"), (4, 2, "c", "c")]
+    for text in ("ً aٰ ۖ b  c\td ", "a", " ً ", "", None):
+        for most in (0, 1, 2, 3, 9):
+            assert batches.leading_bare_tokens(text, most) == batches.bare(text or "").split()[:most]
+
+
+def test_lines_of_any_length_are_classified(spark):
+    """What is no header or formula by its length isn't searched; white space of every kind is cut from the ends."""
+    head, formula = T.HEADER_WORD, T.FORMULA_WORD
+    texts = [f" {head} a\x1c", f"{formula} b　", head + "x" * 80, formula + " " + "y" * 50, "  ", f"{head} 1", f"{head} ً" + "z" * 40]
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "doc long, line_no long, line string")
+    rows = structure.classify(lines).orderBy("line_no").collect()
+    assert [(r.line, r.kind, r.block_no) for r in rows] == [(t.strip(), k, b) for t, k, b in zip(texts, ["header", "formula", "body", "body", "blank", "body", "header"], [1, 1, 1, 1, 1, 1, 2])]
+    long = structure.classify(lines)._jdf.queryExecution().optimizedPlan().toString()
+    assert "btrim" in long or "trim(" in long
+    assert f"^[{C.SPACE}]+|" not in long
