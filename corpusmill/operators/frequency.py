@@ -13,8 +13,10 @@ aggregate and a frequent token costs no more than a rare one.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,7 @@ from ..functions.forms import FORMS
 from ..functions.rounding import half_even
 from ..functions.shipping import ship
 from ..functions.text import reference
+from .form_lengths import lengths_by_table, tables
 
 #: Units of one group; a first occurrence is group * UNITS + unit.
 UNITS = 1 << 32
@@ -33,7 +36,7 @@ TAIL = 100
 
 
 #: Tokens, each counted once a text, that a task gathers before it hands their sums on, and rows handed on at once.
-HELD, OUT_ROWS = 1_000_000, 50_000
+HELD, OUT_ROWS = 2_000_000, 50_000
 #: Places within a text; a token's place in its group is unit * PLACES + place.
 PLACE_BITS = 31
 
@@ -54,46 +57,65 @@ def place_reference(ord_: Column) -> Column:
     return reference(F.shiftright(ord_, 32), ord_.bitwiseAND(F.lit(UNITS - 1)))
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts and first places of tokens by group, of the texts ``(ord, text)`` of a task."""
-    words, ns, places, sizes = [], [], [], []
-    tables, held = [], 0
-
-    def table() -> pa.Table:
-        """What was counted since the last one: a row for each token of a text."""
-        n, first = np.array(sizes, np.int64), np.array(places, np.int64)
-        at = np.repeat(((first & (UNITS - 1)) << PLACE_BITS) - (np.cumsum(n) - n), n) + np.arange(len(words))
-        made = pa.table({"token": pa.array(words, pa.string()), "group_no": np.repeat(first >> 32, n), "n": pa.array(ns, pa.int64()), "at": at})
-        for x in (words, ns, places, sizes):
-            x.clear()
-        return made
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal held
-        if words:
-            tables.append(table())
-        if tables:
-            found = pa.concat_tables(tables).group_by(["token", "group_no"], use_threads=False).aggregate([("n", "sum"), ("at", "min")])
-            yield from found.rename_columns(["token", "group_no", "n", "at"]).to_batches(max_chunksize=OUT_ROWS)
-        tables.clear()
-        held = 0
+class Tally:
+    """Tokens of texts: a row for each token of a text, its number by first appearance instead of the token."""
+
+    def __init__(self) -> None:
+        self.ids: dict[str, int] = {}
+        self.codes, self.ns, self.places, self.sizes = array("q"), array("q"), array("q"), array("q")
+
+    def add(self, place: int | None, text: str | None) -> None:
+        # in order of first occurrence
+        found = Counter(text.split()) if text else None
+        if found:
+            ids = self.ids
+            self.codes.extend([ids.setdefault(w, len(ids)) for w in found])
+            self.ns.extend(found.values())
+            self.places.append(in_range(place))
+            self.sizes.append(len(found))
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Number, count, place of the text, and place in it (among its different tokens) of each row."""
+        code, n, first, size = (np.frombuffer(x, np.int64) for x in (self.codes, self.ns, self.places, self.sizes))
+        return code, n, np.repeat(first, size), np.arange(len(code)) - np.repeat(np.cumsum(size) - size, size)
+
+    def words(self) -> pa.Array:
+        return pa.array(self.ids.keys(), pa.string())
+
 
+def starts(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+
+
+def tallies(batches: Iterator[pa.RecordBatch], held: int) -> Iterator[Tally]:
+    """Tallies of the texts ``(ord, text)`` of a task, cut where one holds so many rows."""
+    tally = Tally()
     for batch in batches:
         for place, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-            # in order of first occurrence
-            found = Counter(text.split()) if text else None
-            if not found:
-                continue
-            words.extend(found)
-            ns.extend(found.values())
-            places.append(in_range(place))
-            sizes.append(len(found))
-            held += len(found)
-        if words and len(words) >= HELD // 8:
-            tables.append(table())
-        if held >= HELD:
-            yield from flush()
-    yield from flush()
+            tally.add(place, text)
+        if len(tally) >= held:
+            yield tally
+            tally = Tally()
+    if len(tally):
+        yield tally
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts and first places of tokens by group, of the texts ``(ord, text)`` of a task."""
+    for tally in tallies(batches, HELD):
+        code, n, place, inside = tally.rows()
+        key = code << 31 | place >> 32
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = starts(key)
+        at = np.minimum.reduceat((((place & (UNITS - 1)) << PLACE_BITS) + inside)[order], first)
+        key, n = key[first], np.add.reduceat(n[order], first)
+        arrays = [tally.words().take(pa.array(key >> 31)), pa.array(key & ((1 << 31) - 1)), pa.array(n), pa.array(at)]
+        yield from pa.Table.from_arrays(arrays, ["token", "group_no", "n", "at"]).to_batches(max_chunksize=OUT_ROWS)
 
 
 def token_counts(units: DataFrame, by_word: bool = False) -> DataFrame:
@@ -175,13 +197,19 @@ def form_totals(counts: DataFrame) -> DataFrame:
 
 def form_effect(units: DataFrame) -> DataFrame:
     """form, chars of all texts joined by newlines, chars_removed_vs_raw, identical_to_raw."""
-    # each form is stated once and read twice above the explode; joining and then stripping and
-    # collapsing differs from doing so text by text only for blank texts
-    each = F.array(*[F.struct(F.lit(name).alias("form"), form(F.col("text")).alias("shown")) for name, form in FORMS.items()])
-    rows = units.select("text", F.inline(each))
-    total = rows.groupBy("form").agg(
-        F.sum(F.length("shown").cast("bigint")).alias("chars"), F.sum(F.length("text").cast("bigint")).alias("raw"), F.count(F.lit(1)).alias("n"), F.bool_and(F.col("shown") == F.col("text")).alias("identical_to_raw")
-    )
+    # joining and then stripping and collapsing differs from doing so text by text only for blank texts
+    ready_for_python(units.sparkSession)
+    known = tables(units.sparkSession, FORMS)
+    parts = [lengths_by_table(units, known)] if known else []
+    others = {name: form for name, form in FORMS.items() if name not in {t.form for t in known}}
+    if others:
+        # each form is stated once and read twice above the explode
+        each = F.array(*[F.struct(F.lit(name).alias("form"), form(F.col("text")).alias("shown")) for name, form in others.items()])
+        length = lambda c: F.length(c).cast("bigint")
+        rows = units.select("text", F.inline(each))
+        parts.append(rows.select("form", length("shown").alias("shown"), length("text").alias("raw"), F.lit(1).cast("bigint").alias("n"), (F.col("shown") == F.col("text")).alias("same")))
+    rows = reduce(DataFrame.unionAll, parts)
+    total = rows.groupBy("form").agg(F.sum("shown").alias("chars"), F.sum("raw").alias("raw"), F.sum("n").alias("n"), F.bool_and("same").alias("identical_to_raw"))
     return total.select("form", (F.col("chars") + F.col("n") - 1).alias("chars"), (F.col("raw") - F.col("chars")).alias("chars_removed_vs_raw"), "identical_to_raw")
 
 

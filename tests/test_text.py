@@ -4,6 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmill.functions import forms, ranges, text
+from corpusmill.operators import frequency
 from corpusmill.functions.rounding import half_even
 from corpusmill.functions.shipping import ship
 from corpusmill.functions.text import leading_tokens
@@ -97,3 +98,23 @@ def test_numbers_over_many_ranges(spark):
     with pytest.raises(ValueError):
         ranges.with_row_number(df, [("s", True)], "no")
     assert ranges.with_row_number(df.limit(0), [("a", False)], "no").count() == 0
+
+
+def test_form_effect_equals_forms_of_whole_texts(spark):
+    """From tables of characters where they say what the form does, and from the texts where they don't."""
+    texts = ["ab  \tc", " a", "b‌ ‌ c", "‌", "  ", "", "aًb ۖ d", None, "\U0001f600ـx", "a b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "unit_no long, text string")
+    forms.register_form("upper", F.upper)
+    forms.register_form("ends", lambda t: F.concat(t, F.lit("!")))
+    try:
+        for rows in (df, df.where("unit_no = 9"), df.where("text is null")):
+            got = {r.form: tuple(r)[1:] for r in frequency.form_effect(rows).collect()}
+            for name, form in forms.FORMS.items():
+                pairs = [(r.shown, r.text) for r in rows.select("text", form(F.col("text")).alias("shown")).collect()]
+                known = [(s, t) for s, t in pairs if t is not None]
+                chars = sum(len(s) for s, _ in known) + len(pairs) - 1 if known else None
+                removed = sum(len(t) - len(s) for s, t in known) if known else None
+                assert got[name] == (chars, removed, all(s == t for s, t in known) if known else None), name
+        assert frequency.form_effect(df.limit(0)).count() == 0
+    finally:
+        del forms.FORMS["upper"], forms.FORMS["ends"]
