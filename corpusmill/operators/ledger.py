@@ -8,13 +8,17 @@ one-task sort.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.batches import ready_for_python
 from ..functions.ranges import with_row_number
-from ..functions.text import tokens
 from ..sources.folders import delete, stored, written
-from .frequency import PLACE_BITS, packed, place_reference, token_counts
+from .frequency import HELD, OUT_ROWS, PLACE_BITS, packed, place_reference, starts, tallies, token_counts
 
 SHOWN_REFS = 12
 JOINT, MORE = " · ", " … (+"
@@ -62,19 +66,35 @@ def in_groups(rows: DataFrame, units: DataFrame) -> DataFrame:
     return rows.select("word", "group_no", "group_name", "no_in_group", "group_total", "global_no", F.lit("No").alias("done"), "count", place_reference(first).alias("first_ref"), "distinct_groups", "rank")
 
 
+def referred(batches: Iterator[pa.RecordBatch], shown: int) -> Iterator[pa.RecordBatch]:
+    """Of each token of the texts ``(ord, text)`` of a task: its count and the places of its first occurrences, one for each."""
+    for tally in tallies(batches, HELD):
+        code, n, place, _ = tally.rows()
+        order = np.lexsort((place, code))
+        code, n, place = code[order], n[order], place[order]
+        first = starts(code)
+        run = np.cumsum(n) - n
+        before = run - np.repeat(run[first], np.diff(np.r_[first, len(n)]))
+        taken = np.clip(shown - before, 0, n)
+        ends = np.cumsum(np.add.reduceat(taken, first))
+        heads = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(np.repeat(place, taken)))
+        arrays = [tally.words(), pa.array(np.add.reduceat(n, first)), heads]
+        yield from pa.Table.from_arrays(arrays, ["word", "n", "head"]).to_batches(max_chunksize=OUT_ROWS)
+
+
 def all_references(units: DataFrame, shown: int = SHOWN_REFS) -> DataFrame:
     """``(word, refs)``: the first references of each word, one for each occurrence, and how many more.
 
-    The window keeps ``shown`` rows a word in each task before the shuffle, so
-    a word of any frequency brings few rows.
+    A task hands on ``shown`` places of a word at most each time that its
+    tally is full, so a word of any frequency brings few.
     """
-    rows = units.select(packed(F.col("group_no"), F.col("unit_no")).alias("ord"), F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
-    rank = F.row_number().over(Window.partitionBy("word").orderBy("ord", "pos"))
-    head = rows.withColumn("r", rank).where(F.col("r") <= shown).groupBy("word").agg(F.array_sort(F.collect_list(F.struct("r", "ord"))).alias("head"))
-    counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    text = F.array_join(F.transform("head", lambda x: place_reference(x["ord"])), JOINT)
+    ready_for_python(units.sparkSession)
+    texts = units.select(packed(F.col("group_no"), F.col("unit_no")).alias("ord"), "text")
+    rows = texts.mapInArrow(lambda batches: referred(batches, shown), "word string, n bigint, head array<bigint>").repartition("word")
+    words = rows.groupBy("word").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("head"))), 1, shown).alias("head"))
+    text = F.array_join(F.transform("head", place_reference), JOINT)
     more = F.when(F.col("n") > shown, F.concat(text, F.lit(MORE), (F.col("n") - shown).cast("string"), F.lit(")"))).otherwise(text)
-    return head.join(counts, "word").select("word", more.alias("refs"))
+    return words.select("word", more.alias("refs"))
 
 
 def ledger(units: DataFrame, counts: DataFrame, with_refs: bool = False) -> DataFrame:

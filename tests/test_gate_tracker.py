@@ -133,3 +133,17 @@ def test_gathered_counts_and_places(held, monkeypatch):
     assert got == {("b", 2): (2, at(4, 1)), ("a", 2): (3, at(4, 0)), ("c", 2): (2, at(4, 0)), ("a", 0): (1, at((1 << 32) - 1, 0)), ("�", 0): (1, at((1 << 32) - 1, 1))}
     with pytest.raises(ValueError):
         list(frequency.gathered(iter([pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array(["a"])], ["ord", "text"])])))
+
+
+@pytest.mark.parametrize("held", [1, 10**6])
+def test_references_of_a_task(held, monkeypatch):
+    """First places of each word in order, however often a task hands them on."""
+    monkeypatch.setattr(ledger, "HELD", held)
+    texts = [(7, "x y x"), (3, "x " * 5), (9, None), (4, " "), (1, "y")]
+    batches = [pa.RecordBatch.from_arrays([pa.array([o]), pa.array([t], pa.string())], ["ord", "text"]) for o, t in texts]
+    got = {}
+    for batch in ledger.referred(iter(batches), 3):
+        for r in batch.to_pylist():
+            n, head = got.get(r["word"], (0, []))
+            got[r["word"]] = (n + r["n"], sorted(head + r["head"])[:3])
+    assert got == {"x": (7, [3, 3, 3]), "y": (2, [1, 7])}
