@@ -47,6 +47,11 @@ def packed(group: Column, unit: Column) -> Column:
     return F.when(fits, group.cast("bigint") * F.lit(UNITS) + unit.cast("bigint"))
 
 
+def place(group: Column, unit: Column) -> Column:
+    """(group, unit) packed; fails for groups or units out of range."""
+    return F.coalesce(packed(group, unit), F.raise_error(F.lit("group or unit number out of range")).cast("bigint"))
+
+
 def in_range(place: int | None) -> int:
     if place is None:
         raise ValueError("group or unit number out of range")
